@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfit.llm import heavy
+from loomfit.llm import heavy, runs, terms, together
 from loomfit.llm.shared import counting_copies
 
 
@@ -34,6 +34,47 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_top(spark, d).select("field", "id")
 
 
+def p2_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every run with its positions, number of events and duration in seconds."""
+    copies = counting_copies(table(spark, d, "item_seqs"), "sequence", "secs")
+    found = runs.repeated_links(copies, table(spark, d, "item_alias"))
+    return runs.collapse(found).drop("dup")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_runs(spark, d).select("seq_id", "first_pos", "last_pos")
+
+
+#: An id in fewer sequences is rare; one in at least this share of the sequences is common.
+RARE, COMMON = 3, 0.02
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences and sequences of every id, with its marks."""
+    counts, filled = terms.term_frequencies(counting_copies(table(spark, d, "item_seqs"), "sequence").select("sequence"))
+    rare, common = F.col("records") < RARE, F.col("records") >= F.lit(COMMON * filled - 1e-9)
+    return counts.select(F.col("term").alias("id"), "occurrences", F.col("records").alias("sequences"), rare.alias("rare"), common.alias("common"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    seen = p5_terms(spark, d)
+    marks = F.array_compact(F.array(F.when(F.col("rare"), F.lit("rare")), F.when(F.col("common"), F.lit("common"))))
+    marked = seen.select("id", F.explode(marks).alias("mark"))
+    told = table(spark, d, "item_data").where("id <> 0 AND cn IS NOT NULL").select("id", "cn")
+    wrong = told.join(seen, "id", "left").where("NOT coalesce(common, false) AND cn <> coalesce(occurrences, 0)")
+    return marked.unionByName(wrong.select("id", F.lit("miscounted").alias("mark")).distinct())
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ids that share sequences far more often than chance, with their counts and association."""
+    pairs = together.appear_together(counting_copies(table(spark, d, "item_seqs"), "sequence").select("sequence"))
+    return pairs.withColumns({c: F.round(c, 9) for c in ("jaccard", "lift", "pmi")})
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_pairs(spark, d).select("id_a", "id_b")
+
+
 COPIES = """c AS (SELECT * FROM item_seqs QUALIFY row_number() OVER (PARTITION BY seq_id
   ORDER BY loaded_at DESC NULLS LAST, len(sequence) DESC NULLS LAST) = 1)"""
 
@@ -44,12 +85,46 @@ P1 = f"""WITH {COPIES}, ids AS (SELECT unnest(sequence) AS id FROM c),
  u AS (SELECT *, sum(n) OVER () AS total FROM s UNION ALL SELECT *, sum(n) OVER () AS total FROM i)
 SELECT field, id{{more}} FROM u WHERE id IS NOT NULL AND n >= {FREQUENT} * total"""
 
+P2 = f"""WITH RECURSIVE {COPIES},
+ al AS (SELECT alias, item FROM item_alias WHERE alias IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alias ORDER BY since DESC NULLS LAST, item NULLS LAST) = 1),
+ hop AS (SELECT alias, item, 1 AS k FROM al WHERE item IS NOT NULL AND item <> alias
+  UNION ALL SELECT h.alias, al.item, k + 1 FROM hop h JOIN al ON h.item = al.alias WHERE al.item IS NOT NULL AND al.item <> al.alias),
+ root AS (SELECT alias, arg_max(item, k) AS root FROM hop GROUP BY alias),
+ e AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS pos, sequence[i] AS id, secs[i] AS t FROM (SELECT *, unnest(range(1, len(sequence) + 1)) AS i FROM c)),
+ x AS (SELECT seq_id, pos, t, coalesce(root, id) AS item FROM e LEFT JOIN root ON id = alias WHERE id IS NOT NULL AND id <> 0),
+ l AS (SELECT *, lag(item) OVER w AS b, lag(t) OVER w AS bt FROM x WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+ g AS (SELECT *, sum(CASE WHEN b = item AND coalesce(t - bt <= 600, true) THEN 0 ELSE 1 END) OVER (PARTITION BY seq_id ORDER BY pos) AS run FROM l)
+SELECT seq_id, min(pos) AS first_pos, max(pos) AS last_pos{{more}} FROM g GROUP BY seq_id, run HAVING count(*) > 1"""
+
+TERMS = f"""WITH {COPIES}, e AS (SELECT seq_id, unnest(sequence) AS id FROM c),
+ f AS (SELECT id, count(*) AS occurrences, count(DISTINCT seq_id) AS sequences FROM e WHERE id IS NOT NULL AND id <> 0 GROUP BY id),
+ m AS (SELECT *, sequences < {RARE} AS rare, sequences >= {COMMON} * (SELECT count(*) FROM c WHERE len(sequence) > 0) AS common FROM f)"""
+
+P7 = f"""WITH {COPIES}, e AS (SELECT DISTINCT seq_id, id FROM (SELECT seq_id, unnest(sequence) AS id FROM c) WHERE id IS NOT NULL AND id <> 0),
+ f AS (SELECT id, count(*) AS k FROM e GROUP BY id), n AS (SELECT count(*) AS n FROM c WHERE len(sequence) > 0),
+ p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_ab FROM e a JOIN e b ON a.seq_id = b.seq_id AND a.id < b.id GROUP BY ALL)
+SELECT id_a, id_b{{more}} FROM p JOIN f a ON a.id = id_a JOIN f b ON b.id = id_b CROSS JOIN n
+ WHERE n_ab >= 6 AND n_ab / (a.k + b.k - n_ab) >= 0.2 AND n_ab * n / (a.k * b.k) >= 5"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_top": p1_top,
+    "p2_found": p2_found,
+    "p2_runs": p2_runs,
+    "p5_found": p5_found,
+    "p5_terms": p5_terms,
+    "p7_found": p7_found,
+    "p7_pairs": p7_pairs,
 }
 
 SQL: dict[str, str] = {
     "p1_found": P1.format(more=""),
     "p1_top": P1.format(more=", n, CAST(total AS BIGINT) AS total"),
+    "p2_found": P2.format(more=""),
+    "p2_runs": P2.format(more=", count(*) AS n, arg_max_null(t, pos) - arg_min_null(t, pos) AS duration"),
+    "p5_found": TERMS + """ SELECT id, 'rare' AS mark FROM m WHERE rare UNION ALL SELECT id, 'common' FROM m WHERE common
+ UNION ALL SELECT DISTINCT d.id, 'miscounted' FROM item_data d LEFT JOIN m USING (id) WHERE d.id <> 0 AND cn IS NOT NULL AND NOT coalesce(common, false) AND cn <> coalesce(occurrences, 0)""",
+    "p5_terms": TERMS + " SELECT * FROM m",
+    "p7_found": P7.format(more=""),
+    "p7_pairs": P7.format(more=", n_ab, a.k AS n_a, b.k AS n_b, n, round(n_ab / (a.k + b.k - n_ab), 9) AS jaccard, round(n_ab * n / (a.k * b.k), 9) AS lift, round(log2(n_ab * n / (a.k * b.k)), 9) AS pmi"),
 }
