@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfit.llm import heavy, runs, terms, together
+from loomfit.llm import heavy, packing, runs, terms, together, tokens
 from loomfit.llm.shared import counting_copies
 
 
@@ -75,6 +75,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_pairs(spark, d).select("id_a", "id_b")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"))
+
+
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text encoded and decoded again; null became the empty text."""
+    return tokens.decode_ids(p8_ids(spark, d))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document's pieces."""
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Number of containers and documents, tokens, and the share of the space in use."""
+    placed = p9_containers(spark, d)
+    each = placed.groupBy("container").agg(F.sum("size").alias("tokens"), F.count_if(F.col("piece") == 0).alias("documents"))
+    return each.agg(F.count(F.lit(1)).alias("containers"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("used"))
+
+
 COPIES = """c AS (SELECT * FROM item_seqs QUALIFY row_number() OVER (PARTITION BY seq_id
   ORDER BY loaded_at DESC NULLS LAST, len(sequence) DESC NULLS LAST) = 1)"""
 
@@ -115,6 +136,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_terms": p5_terms,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
+    "p8_ids": p8_ids,
+    "p8_text": p8_text,
+    "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
 }
 
 SQL: dict[str, str] = {
@@ -127,4 +152,5 @@ SQL: dict[str, str] = {
     "p5_terms": TERMS + " SELECT * FROM m",
     "p7_found": P7.format(more=""),
     "p7_pairs": P7.format(more=", n_ab, a.k AS n_a, b.k AS n_b, n, round(n_ab / (a.k + b.k - n_ab), 9) AS jaccard, round(n_ab * n / (a.k * b.k), 9) AS lift, round(log2(n_ab * n / (a.k * b.k)), 9) AS pmi"),
+    "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
