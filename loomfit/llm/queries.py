@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfit.llm import heavy, packing, runs, terms, together, tokens
+from loomfit.llm import clusters, heavy, neighbours, packing, runs, terms, together, tokens
 from loomfit.llm.shared import counting_copies
 
 
@@ -49,6 +49,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 RARE, COMMON = 3, 0.02
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of right ids in the same cluster of three or more mutually similar vectors."""
+    return clusters.pairs(clusters.tight_clusters(right(table(spark, d, "item_data"))))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every cluster with its size and most typical ids, loose groups split around medoids."""
+    return clusters.described(right(table(spark, d, "item_data")))
+
+
+def right(item_data: DataFrame) -> DataFrame:
+    return item_data.where("type")
+
+
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and sequences of every id, with its marks."""
     counts, filled = terms.term_frequencies(counting_copies(table(spark, d, "item_seqs"), "sequence").select("sequence"))
@@ -65,6 +79,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return marked.unionByName(wrong.select("id", F.lit("miscounted").alias("mark")).distinct())
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The up to five most similar vectors of every vector, from 0.9 on."""
+    near = neighbours.most_similar(table(spark, d, "item_data"))
+    return near.select(F.when(F.col("type"), "right").otherwise("left").alias("side"), "id", "other", "similarity", "place")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_neighbours(spark, d).select("side", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of ids that share sequences far more often than chance, with their counts and association."""
     pairs = together.appear_together(counting_copies(table(spark, d, "item_seqs"), "sequence").select("sequence"))
@@ -132,8 +156,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_top": p1_top,
     "p2_found": p2_found,
     "p2_runs": p2_runs,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p5_found": p5_found,
     "p5_terms": p5_terms,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_ids": p8_ids,
