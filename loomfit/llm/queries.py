@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfit.llm import clusters, heavy, neighbours, packing, runs, terms, together, tokens
+from loomfit.llm import clusters, heavy, neighbours, packing, runs, terms, together, tokens, topics
 from loomfit.llm.shared import counting_copies
 
 
@@ -120,6 +120,11 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("containers"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count(F.lit(1)) * packing.CAPACITY)).alias("used"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return topics.subjects_of(docs, table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
 COPIES = """c AS (SELECT * FROM item_seqs QUALIFY row_number() OVER (PARTITION BY seq_id
   ORDER BY loaded_at DESC NULLS LAST, len(sequence) DESC NULLS LAST) = 1)"""
 
@@ -168,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_text": p8_text,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
 }
 
 SQL: dict[str, str] = {
