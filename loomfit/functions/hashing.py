@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # The multipliers of the public 64-bit finalizer (MurmurHash3).
 MIX_1 = 0xFF51AFD7ED558CCD
 MIX_2 = 0xC4CEB9FE1A85EC53
+#: Salts of the right ids' permutations start here; those of left ids are the epochs.
+RIGHT_SALT = 1 << 30
 
 
 def _multiply(x: Column, factor: int) -> Column:
@@ -38,11 +40,14 @@ def hashed(df: DataFrame, wanted: dict[str, tuple[Column, int | Column, int]]) -
     """Adds a column per entry ``name: (id, salt, n)``: a number in ``[0, n)``, null for a null id.
 
     The id's 32-bit hash (its halves combined by exclusive or, so ``i`` and ``~i`` agree) is put above the salt's 32 bits, and
-    the 64-bit finalizer mixes them; the result is its absolute value modulo ``n``.
+    the 64-bit finalizer mixes them; the result is its absolute value modulo ``n``. A negative salt is refused: its sign would
+    cover the id's bits.
     """
     keep = df.columns
     cols = {}
     for name, (x, salt, _) in wanted.items():
+        if isinstance(salt, int) and not 0 <= salt < 1 << 31:
+            raise ValueError("a salt must be in [0, 2**31)")
         x = x.cast("bigint")
         half = x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
         salt = F.lit(salt) if isinstance(salt, int) else salt
@@ -72,7 +77,7 @@ def partitions(df: DataFrame, epoch: int, rotation: int | Column, n: int, left:
     if left:
         wanted["left_part"] = (F.col(left), epoch, n)
     if right:
-        wanted |= {"step_": (F.col(right), -1 - 2 * epoch, len(u)), "shift_": (F.col(right), -2 - 2 * epoch, n)}
+        wanted |= {"step_": (F.col(right), RIGHT_SALT + 2 * epoch, len(u)), "shift_": (F.col(right), RIGHT_SALT + 2 * epoch + 1, n)}
     out = hashed(df, wanted)
     if right:
         rotation = F.lit(rotation) if isinstance(rotation, int) else rotation

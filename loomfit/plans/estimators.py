@@ -14,8 +14,6 @@ from loomfit.plans.trainer import Metrics, train
 from loomfit.session import store
 from loomfit.sources import tables
 
-NONE = F.lit(None).cast("float")
-
 
 class _Estimator:
     """Fluent setters; every setter checks its value and returns the estimator."""
@@ -114,7 +112,8 @@ class SkipGram(_Estimator):
             got = pair_ops.item2vec_pairs(seqs, self.window, seed)
         else:
             got = pair_ops.pos2neg_pairs(seqs, self.window, seed)
-        return got.withColumns({"label": NONE, "weight": NONE})
+        none = F.lit(None).cast("float")
+        return got.withColumns({"label": none, "weight": none})
 
     def fit(self, df: DataFrame) -> DataFrame:
         """``type, id, cn, f`` after training. Null ids are left out; rare words keep their positions while pairing.
