@@ -75,7 +75,7 @@ def keyed_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Seq
             on = _same(known, parts, keys)
         else:
             known = known.withColumn("salt_", F.monotonically_increasing_id() % SALTS)
-            parts = parts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+            parts = parts.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
             on = _same(known, parts, keys) & (known["salt_"] == parts["salt_"])
         inside = known.join(parts, on & known["v_"].between(parts["lo"], parts["hi"])).select(*[parts[k].alias(k) for k in keys], "lo", "hi", "v_")
         # halves, for the difference of two large values may overflow
