@@ -185,7 +185,7 @@ def checkpoint_roundtrip(spark, d):
 
 
 def _skipgram(mode: str) -> SkipGram:
-    return SkipGram().setVectorSize(32).setSamplingMode(mode).setLearningRate(LR).setNumPartitions(2).setSeed(1)
+    return SkipGram().setVectorSize(32).setSamplingMode(mode).setLearningRate(LR).setNumPartitions(5).setSeed(1)
 
 
 def train_skipgram_window(spark, d):
@@ -201,7 +201,7 @@ def train_skipgram_pos2neg(spark, d):
 
 
 def _factors() -> LogisticMF:
-    return LogisticMF().setVectorSize(32).setLearningRate(LR).setNumPartitions(2).setUseBias(True).setLambdaL(0.001).setLambdaR(0.001).setSeed(1)
+    return LogisticMF().setVectorSize(32).setLearningRate(LR).setNumPartitions(5).setUseBias(True).setLambdaL(0.001).setLambdaR(0.001).setSeed(1)
 
 
 def train_lmf_implicit(spark, d):
