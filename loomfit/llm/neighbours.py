@@ -1,122 +1,188 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree is an array of vectors sorted by a long string of sign bits. Neighbours in the array share the longest
-prefixes; a window that grows around a position first holds the longest match of its prefix, then, ascending, shorter
-ones. Arrays are range-partitioned, so equal and similar hash strings spread over tasks whatever their number.
+Each tree hashes a vector to a short prefix and a string of further sign bits. Inside a prefix every vector is compared with
+all vectors whose further bits differ in at most ``FLIPS`` places, whatever their number: nothing is cut at a block, and a
+prefix with more than ``BLOCK`` rows is dealt over tasks as pairs of blocks. A pair's chance to be met hence depends on its
+similarity alone, and the number of trees follows from that chance. Prefix lengths are those of the size of the table; there
+is no ascent over them, see the README.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import acos, ceil, comb, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfit.llm.clusters import by_group
 from loomfit.llm.vectors import DIM, SCALE, SIMILAR, from_binary, resolved, shared_vectors
 from loomfit.session import small, store
 
-#: Trees, and bits of a hash string.
-TREES, BITS = 7, 40
-#: A vector is compared with this many neighbours in the array at least, on either side together.
-WINDOW = 1_024
+#: Further sign bits inside a prefix, and in how many of them compared vectors may differ.
+INNER, FLIPS = 10, 2
+#: Rows that a prefix has on average at most, bits of a prefix at least.
+UNIT, LEAST_BITS = 65_536, 2
+#: Most rows of a prefix that are compared in one piece; more are dealt as pairs of blocks.
+BLOCK = 131_072
+#: Share of the pairs at exactly the least similarity that no tree may meet.
+MISS = 0.002
+#: Rows and columns of a piece of the similarity matrix.
+TILE, STRIP = 256, 16_384
 TOP = 5
 SEED = 11
 
 
-def forest(rows: DataFrame) -> DataFrame:
-    """``place, id, q``: every vector once per tree; ``place`` is side, tree and hash string in one number."""
+def shape(rows: int, least: float) -> tuple[int, int]:
+    """Bits of a prefix for a side of so many rows, and the trees that keep the misses at ``least`` under ``MISS``."""
+    bits = max(LEAST_BITS, ceil(log2(max(1, rows) / UNIT)))
+    same = 1 - acos(min(1.0, max(-1.0, least))) / pi
+    met = same**bits * sum(comb(INNER, k) * same ** (INNER - k) * (1 - same) ** k for k in range(FLIPS + 1))
+    return bits, 1 if met >= 1 else max(1, ceil(log(MISS) / log1p(-met)))
+
+
+def hashes(b: pa.RecordBatch, plane: np.ndarray, bits: int, trees: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per tree the unit (side, tree and prefix in one number) and the further bits of ``type, id, q``."""
+    side = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    up = from_binary(b.column(2), np.int16, DIM).astype(np.float32) @ plane > 0
+    width = bits + INNER
+    weight = np.int64(1) << np.arange(width - 1, -1, -1, dtype=np.int64)
+    for t in range(trees):
+        code = up[:, t * width : (t + 1) * width].astype(np.int64) @ weight
+        yield (side * trees + t) << bits | code >> INNER, code & (1 << INNER) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plane = np.random.default_rng(SEED).standard_normal((DIM, TREES * BITS)).astype(np.float32)
-        weight = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        for b in batches:
-            x = from_binary(b.column(2), np.int16, DIM).astype(np.float32)
-            side = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 60
-            bits = x @ plane > 0
-            for t in range(TREES):
-                code = bits[:, t * BITS : (t + 1) * BITS].astype(np.int64) @ weight
-                yield pa.RecordBatch.from_arrays([pa.array(side | t << BITS | code), b.column(1), b.column(2)], ["place", "id", "q"])
 
-    return rows.mapInArrow(run, "place bigint, id bigint, q binary")
+def planes(bits: int, trees: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((DIM, trees * (bits + INNER))).astype(np.float32)
 
 
-def best(a: np.ndarray, b: np.ndarray, s: np.ndarray, top: int) -> np.ndarray:
-    """Which of the pairs are among the ``top`` most similar of either member."""
-    keep = np.zeros(len(s), bool)
-    for v in (a, b):
-        order = np.lexsort((-s, v))
-        start = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]])
-        rank = np.arange(len(v)) - np.repeat(start, np.diff(np.r_[start, len(v)]))
-        keep[order[rank < top]] = True
-    return keep
+def large_units(rows: DataFrame, bits: int, trees: int) -> dict[int, int]:
+    """Units with more than ``BLOCK`` rows, and the blocks they are dealt in. At most a unit per ``BLOCK`` rows and tree."""
+    block = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plane = planes(bits, trees)
+        for b in batches:
+            if b.num_rows:
+                unit, n = np.unique(np.concatenate([u for u, _ in hashes(b, plane, bits, trees)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(n)], ["unit", "n"])
 
+    sizes = rows.mapInArrow(run, "unit bigint, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return {r["unit"]: -(-r["n"] // block) for r in sizes.where(F.col("n") > block).collect()}
 
-def near(sorted_rows: DataFrame, least: float, top: int) -> DataFrame:
-    """``type, id_a, id_b, similarity`` of the pairs found in windows over the arrays.
 
-    Rows that follow each other with equal vectors are one, under the smallest id; each vector's ``top`` best
-    neighbours of a window are kept.
+def forest(rows: DataFrame, bits: int, trees: int, large: dict[int, int]) -> DataFrame:
+    """``unit, i, j, code, mine, id, q``: every vector once per tree, in a large unit once per pair of blocks with its own.
+
+    The block of a vector follows from its values, so copies stay together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
-        before: tuple[np.ndarray, np.ndarray] | None = None
-        ids: list[np.ndarray] = []
-        rows: list[np.ndarray] = []
-        array, held = -1, 0
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            nonlocal before
-            i = np.concatenate(ids)
-            x = np.concatenate(rows).astype(np.float32) / SCALE
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            found = []
-            if before:
-                s = before[1] @ x.T
-                r, c = np.nonzero(s >= least)
-                found.append((before[0][r], i[c], s[r, c]))
-            s = x @ x.T
-            r, c = np.nonzero(s >= least)
-            r, c = r[r < c], c[r < c]
-            found.append((i[r], i[c], s[r, c]))
-            a, b, s = (np.concatenate(v) for v in zip(*found))
-            ok = a != b
-            a, b, s = a[ok], b[ok], s[ok]
-            before = (i, x)
-            if len(a):
-                k = best(a, b, s, top)
-                a, b, s = a[k], b[k], s[k]
-                side = np.full(len(a), bool(array >> (60 - BITS)))
-                yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["type", "id_a", "id_b", "similarity"])
-
+        plane = planes(bits, trees)
+        odd = np.random.default_rng(SEED).integers(1 << 62, size=DIM * 2 // 8, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        many = np.array(sorted(large), np.int64)
+        parts = np.array([large[u] for u in many.tolist()], np.int64)
+        names = ["unit", "i", "j", "code", "mine", "id", "q"]
         for b in batches:
-            place, i, q = b.column(0).to_numpy(), b.column(1).to_numpy(), from_binary(b.column(2), np.int16, DIM)
-            same = (place[1:] == place[:-1]) & (q[1:] == q[:-1]).all(1)
-            first = np.r_[not (last and len(place) and last[0] == place[0] and (last[1] == q[0]).all()), ~same] if len(place) else np.empty(0, bool)
-            if len(place):
-                last = (int(place[-1]), q[-1].copy())
-            place, i, q = place[first], i[first], q[first]
-            tree = place >> BITS
-            cut = np.r_[0, np.flatnonzero(tree[1:] != tree[:-1]) + 1, len(tree)] if len(tree) else np.zeros(1, int)
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                if tree[lo] != array:
-                    if held:
-                        yield from chunk()
-                        ids.clear(), rows.clear()
-                    before, array, held = None, int(tree[lo]), 0
-                while lo < hi:
-                    take = min(hi - lo, WINDOW - held)
-                    ids.append(i[lo : lo + take])
-                    rows.append(q[lo : lo + take].copy())
-                    held, lo = held + take, lo + take
-                    if held == WINDOW:
-                        yield from chunk()
-                        ids.clear(), rows.clear()
-                        held = 0
-        if held:
-            yield from chunk()
+            if not b.num_rows:
+                continue
+            with np.errstate(over="ignore"):
+                h = (from_binary(b.column(2), np.uint64, DIM * 2 // 8) * odd).sum(1, dtype=np.uint64)
+                h = (h ^ h >> np.uint64(32)) * odd[0] >> np.uint64(33)
+            for unit, code in hashes(b, plane, bits, trees):
+                n = np.ones(len(unit), np.int64)
+                if len(many):
+                    k = np.minimum(np.searchsorted(many, unit), len(many) - 1)
+                    n = np.where(many[k] == unit, parts[k], 1)
+                mine = h.astype(np.int64) % n
+                row = np.repeat(np.arange(len(n)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                for lo in range(0, len(row), 8_192):
+                    r, o = row[lo : lo + 8_192], other[lo : lo + 8_192]
+                    take = pa.array(r)
+                    cols = [unit[r], np.minimum(mine[r], o), np.maximum(mine[r], o), code[r], mine[r]]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), b.column(1).take(take), b.column(2).take(take)], names)
+
+    return rows.mapInArrow(run, "unit bigint, i bigint, j bigint, code bigint, mine bigint, id bigint, q binary")
+
+
+def strongest(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``rows`` the ``top`` of ``cols`` with the highest similarity of at least ``least``, as ``row, col, s``."""
+    found = []
+    for lo in range(0, len(rows), TILE):
+        mine = rows[lo : lo + TILE]
+        bound = np.full(len(mine), least, np.float32)
+        r, c, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        for at in range(0, len(cols), STRIP):
+            strip = cols[at : at + STRIP]
+            m = x[mine] @ x[strip].T
+            ok = m >= bound[:, None]
+            n = np.count_nonzero(ok)
+            if not n:
+                continue
+            if n > 64 * len(mine) and len(strip) > top:
+                new_c = np.argpartition(m, len(strip) - top, axis=1)[:, -top:]
+                new_r = np.repeat(np.arange(len(mine)), top)
+                new_c = new_c.ravel()
+                keep = ok[new_r, new_c]
+                new_r, new_c = new_r[keep], new_c[keep]
+            else:
+                new_r, new_c = np.nonzero(ok)
+            r, c, s = np.r_[r, new_r], np.r_[c, strip[new_c]], np.r_[s, m[new_r, new_c]]
+            order = np.lexsort((-s, r))
+            r, c, s = r[order], c[order], s[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, s, rank = (v[rank < top] for v in (r, c, s, rank))
+            full = rank == top - 1
+            bound[r[full]] = s[full]
+        found.append((mine[r], c, s))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
+def near(sorted_rows: DataFrame, least: float, top: int, right: int) -> DataFrame:
+    """``type, id_a, id_b, similarity`` of each vector's ``top`` most similar others in its unit, from rows of
+    :func:`forest` sorted by ``unit, i, j, code, q, id``. Rows with equal vectors are one, under the smallest id. Units from
+    ``right`` on are of the right side.
+    """
+
+    def group(i: int, j: int, code: np.ndarray, mine: np.ndarray, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        first = np.r_[True, (code[1:] != code[:-1]) | (q[1:] != q[:-1]).any(1)]
+        code, mine, ids, x = code[first], mine[first], ids[first], q[first].astype(np.float32) / SCALE
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        start = np.searchsorted(code, np.arange((1 << INNER) + 1))
+        size = np.diff(start)
+        flips = np.array([sum(1 << k for k in ks) for n in range(FLIPS + 1) for ks in combinations(range(INNER), n)])
+        found = []
+        for c in np.flatnonzero(size):
+            rows, to = np.arange(start[c], start[c + 1]), c ^ flips
+            n = size[to]
+            cols = np.repeat(start[to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            if i == j:
+                found.append(strongest(x, rows, cols, least, top + 1))  # itself among them
+            else:
+                for a in (i, j):
+                    if len(own := rows[mine[rows] == a]) and len(rest := cols[mine[cols] != a]):
+                        found.append(strongest(x, own, rest, least, top))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        a, b, s = (np.concatenate(v) for v in zip(*found))
+        a, b, s = (v[a != b] for v in (ids[a], ids[b], s))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        once = np.lexsort((b, a))
+        a, b, s = a[once], b[once], s[once]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
+        return a[new], b[new], s[new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in by_group(batches, 3):
+            for unit, i, j, code, mine, ids, q in groups:
+                a, b, s = group(int(i[0]), int(j[0]), code, mine, ids, q)
+                if len(a):
+                    side = np.full(len(a), int(unit[0]) >= right)
+                    yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(a), pa.array(b), pa.array(s)], ["type", "id_a", "id_b", "similarity"])
 
     return sorted_rows.mapInArrow(run, "type boolean, id_a bigint, id_b bigint, similarity float")
 
@@ -128,8 +194,11 @@ def most_similar(item_data: DataFrame, least: float = SIMILAR, top: int = TOP) -
     vectors are handled exactly and apart, so their number does not matter. Empty input: no rows.
     """
     rows, seen = resolved(item_data)
-    arrays = forest(rows).repartitionByRange("place", "id").sortWithinPartitions("place", "q", "id")
-    pairs = near(arrays.select("place", "id", "q"), least, top + 1)
+    sides = [r["count"] for r in seen.groupBy("type").count().collect()]
+    bits, trees = shape(max(sides, default=0), least)
+    dealt = forest(rows, bits, trees, large_units(rows, bits, trees)).repartition("unit", "i", "j")
+    arrays = dealt.sortWithinPartitions("unit", "i", "j", "code", "q", "id")
+    pairs = near(arrays, least, top + 1, trees << bits)
     pairs = store(pairs.groupBy("type", "id_a", "id_b").agg(F.max("similarity").alias("similarity")), "near").df
     group = store(shared_vectors(seen, top + 1), "shared").df
     n = group.count()

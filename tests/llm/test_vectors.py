@@ -65,3 +65,23 @@ def test_loose_component_is_split_around_its_hub(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert clusters.tight_clusters(df).count() == 0
     assert sorted((r["medoid"], r["size"]) for r in clusters.described(df).collect()) == [(1, 3)]
+
+
+def test_neighbours_in_a_dense_group_are_found_whatever_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1, 48)) + rng.standard_normal((16_000, 48)) * 0.25  # near-equal: all about 0.94
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x[:500] @ x.T
+    s[np.arange(500), np.arange(500)] = -1
+    want = {(k, int(o)) for k, row in enumerate(s) for o in np.argsort(-row)[:5] if row[o] >= 0.9}
+    df = spark.createDataFrame([(True, k, 1, [*map(float, v), 0.5], 1, "x") for k, v in enumerate(x)], SCHEMA).repartition(4)
+    for block in (None, 5_000):
+        if block:
+            monkeypatch.setattr(neighbours, "BLOCK", block)
+        got = {(r["id"], r["other"]) for r in neighbours.most_similar(df).where("id < 500").collect()}
+        assert len(got & want) > 0.98 * len(want) and len(got & want) > 0.98 * len(got)
+
+
+def test_trees_keep_the_misses_at_the_threshold_at_every_size():
+    small, large = neighbours.shape(100_000, 0.9), neighbours.shape(100_000_000, 0.9)
+    assert small[1] >= 7 and large[0] > small[0] and large[1] > small[1]
