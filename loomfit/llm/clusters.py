@@ -21,72 +21,196 @@ from loomfit.session import Stored, small, store
 
 #: Fixed directions, and how many of the furthest are hashed.
 DIRECTIONS, FAR = 256, 16
-#: Bands, MinHash values in a band, and further values that order a band's bucket.
-BANDS, ROWS, ORDER = 40, 3, 3
+#: Bands, and MinHash values in a band.
+BANDS, ROWS = 40, 3
 #: Least Jaccard of a candidate pair. Sets of vectors at similarity 0.9 have about 0.75, seldom less than this.
 JACCARD = 0.69
-#: A row is compared with this many rows after it in its bucket.
-AHEAD = 12
+#: Buckets up to ``FEW`` rows are compared row by row, larger ones by ``TILE`` rows; those over ``BUCKET`` are dealt.
+FEW, TILE, BUCKET = 256, 64, 16_384
+#: Counters for the sizes of the buckets; buckets that share one are dealt too early, never too late.
+SLOTS = 1 << 18
 #: Vectors of a component compared in one piece.
 BLOCK = 1_024
 SEED = 5
 
 
+def places(q: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per band the buckets of a batch of vectors, and the words of their sign sets."""
+    rng = np.random.default_rng(SEED)
+    plane = rng.standard_normal((DIM, DIRECTIONS)).astype(np.float32)
+    plane /= np.linalg.norm(plane, axis=0)
+    mixes = rng.permuted(np.tile(np.arange(2 * DIRECTIONS, dtype=np.uint16), (BANDS * ROWS, 1)), axis=1)
+    odd = rng.integers(1 << 62, size=(BANDS, ROWS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+    reach = from_binary(q, np.int16, DIM).astype(np.float32) @ plane
+    far = np.argpartition(-np.abs(reach), FAR - 1, axis=1)[:, :FAR]
+    tokens = far * 2 + (np.take_along_axis(reach, far, 1) > 0)
+    words = np.packbits(reach > 0, axis=1)
+    for k in range(BANDS):
+        mix = np.full(len(tokens), k * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+        for r in range(ROWS):
+            mix = (mix ^ (mixes[k * ROWS + r][tokens].min(1).astype(np.uint64) + np.uint64(1))) * odd[k, r]
+            mix ^= mix >> np.uint64(29)
+        yield mix, words
+
+
+def slot(place: np.ndarray) -> np.ndarray:
+    return (place >> np.uint64(32) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def crowded(rows: DataFrame) -> dict[int, int]:
+    """Slots of buckets with more than ``BUCKET`` rows, and the blocks these are dealt in."""
+    most = BUCKET
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                for place, _ in places(b.column(0)):
+                    n += np.bincount(slot(place), minlength=SLOTS)
+        k = np.flatnonzero(n)
+        for lo in range(0, len(k), 65_536):
+            part = k[lo : lo + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["k", "n"])
+
+    sizes = rows.select("q").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    return {r["k"]: -(-r["n"] * 2 // most) for r in sizes.where(F.col("n") > most).collect()}
+
+
 def bands(rows: DataFrame) -> DataFrame:
-    """``place, id, words``: every vector once per band. ``place`` has the bucket in its upper 40 bits, the order in it below."""
+    """``place, id, words``: every vector once per band. ``place`` is the bucket. A crowded bucket is dealt: its rows are in
+    one block each, which follows from ``words``, and every two blocks have a place of their own.
+    """
+    large = crowded(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        plane = rng.standard_normal((DIM, DIRECTIONS)).astype(np.float32)
-        plane /= np.linalg.norm(plane, axis=0)
-        mixes = rng.permuted(np.tile(np.arange(2 * DIRECTIONS, dtype=np.uint16), (BANDS * (ROWS + ORDER), 1)), axis=1)
-        odd = rng.integers(1 << 62, size=(BANDS, ROWS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        parts = np.ones(SLOTS, np.int64)
+        parts[list(large)] = list(large.values())
+        factor = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
         for b in batches:
-            reach = from_binary(b.column(1), np.int16, DIM).astype(np.float32) @ plane
-            far = np.argpartition(-np.abs(reach), FAR - 1, axis=1)[:, :FAR]
-            tokens = far * 2 + (np.take_along_axis(reach, far, 1) > 0)
-            words = binary(np.packbits(reach > 0, axis=1))
-            for k in range(BANDS):
-                h = [mixes[k * (ROWS + ORDER) + r][tokens].min(1).astype(np.uint64) for r in range(ROWS + ORDER)]
-                mix = np.full(len(tokens), k * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-                for r in range(ROWS):
-                    mix = (mix ^ (h[r] + np.uint64(1))) * odd[k, r]
-                    mix ^= mix >> np.uint64(29)
-                place = mix >> np.uint64(24)
-                for r in range(ORDER):
-                    place = place << np.uint64(8) | h[ROWS + r] >> np.uint64(1)
-                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), b.column(0), words], ["place", "id", "words"])
+            if not b.num_rows:
+                continue
+            for place, words in places(b.column(1)):
+                row, n = np.arange(len(place)), parts[slot(place)] if large else None
+                if large and (n > 1).any():
+                    with np.errstate(over="ignore"):
+                        h = (words.view(np.uint64) * factor).sum(1, dtype=np.uint64)
+                        mine = ((h ^ h >> np.uint64(31)) * factor[0] >> np.uint64(33)).astype(np.int64) % n
+                        times = np.maximum(n - 1, 1)
+                        row = np.repeat(row, times)
+                        other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                        other += other >= mine[row]
+                        pair = np.minimum(mine[row], other) * n[row] + np.maximum(mine[row], other) + 1
+                        place = np.where(n[row] > 1, (place[row] ^ pair.astype(np.uint64) * factor[1]) * factor[2], place[row])
+                for lo in range(0, len(row), 8_192):
+                    r = row[lo : lo + 8_192]
+                    yield pa.RecordBatch.from_arrays([pa.array(place[lo : lo + 8_192].view(np.int64)), b.column(0).take(pa.array(r)), binary(words[r])], ["place", "id", "words"])
 
     return rows.select("id", "q").mapInArrow(run, "place bigint, id bigint, words binary")
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of the component of each of ``n`` nodes, by the edges ``a, b``."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        now = root.copy()
+        for x in (a, b, root[a], root[b]):
+            np.minimum.at(now, x, low)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+
+
+def linked(place: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers that connect, within each bucket, all rows that a chain of pairs of at least this Jaccard does.
+
+    ``place`` is sorted. Every two rows of a bucket are compared unless they are known to be connected.
+    """
+    cols = [np.ascontiguousarray(w[:, c]) for c in range(w.shape[1])]
+    most = DIRECTIONS - 2 * DIRECTIONS * least / (1 + least) + 1e-9  # so many sides may differ
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(c[a] ^ c[b]).astype(np.uint16) for c in cols)
+
+    cut = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1, len(place)]
+    size = np.diff(cut)
+    end = np.repeat(cut[1:], size)
+    left, right = [], []
+    k, lag = np.flatnonzero(np.repeat(size <= FEW, size)), 1
+    while len(k := k[k + lag < end[k]]):
+        ok = k[differ(k, k + lag) <= most]
+        left.append(ok)
+        right.append(ok + lag)
+        lag += 1
+    for at in np.flatnonzero(size > FEW):
+        rest = np.arange(cut[at], cut[at + 1])
+        while len(rest) > 1:
+            tile = rest[:TILE]
+            near = differ(tile[:, None], rest[None]) <= most
+            r, c = np.nonzero(near) if near.sum() <= 8 * len(rest) else (None, None)
+            if r is not None:
+                left.append(tile[r[r < c]])
+                right.append(rest[c[r < c]])
+                rest = rest[len(tile) :]
+                continue
+            # many are near: the whole component of the row with most is taken out, each member compared with those left
+            hub = near.sum(1).argmax()
+            todo, rest = [rest[near[hub] & (rest != tile[hub])]], rest[~near[hub]]
+            while todo:
+                got = todo.pop()
+                left.append(np.full(len(got), tile[hub]))
+                right.append(got)
+                for lo in range(0, len(got) if len(rest) else 0, TILE):
+                    new = (differ(got[lo : lo + TILE, None], rest[None]) <= most).any(0)
+                    if new.any():
+                        todo.append(rest[new])
+                        rest = rest[~new]
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
 def candidates(sorted_rows: DataFrame, least: float = JACCARD) -> DataFrame:
-    """``id_a, id_b``: each row of a bucket and the nearest after it with at least this Jaccard, exactly computed.
+    """``id_a, id_b``: edges that connect the rows of each bucket which pairs of at least this Jaccard, exactly computed, do.
 
-    Edges grow with the rows, never with the pairs of a bucket.
+    Rows are sorted by ``place, words, id``, and a place's rows are in one task. Edges grow with the rows, never with the
+    pairs of a bucket.
     """
 
+    def edges(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        place, i, w = (np.concatenate(x) for x in zip(*parts))
+        root = roots(len(i), *linked(place, w, least))
+        k = np.flatnonzero((root != np.arange(len(i))) & (i != i[root]))
+        yield from made(i[k], i[root[k]])
+
+    def made(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id_a", "id_b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            now = (b.column(0).to_numpy() >> 24, b.column(1).to_numpy(), from_binary(b.column(2), np.uint64, DIRECTIONS // 64))
-            place, i, w = (np.concatenate(x) for x in zip(tail, now)) if tail else now
-            tail = tuple(x[-AHEAD:].copy() for x in (place, i, w))
-            open_ = np.ones(len(i), bool)
-            left, right = [], []
-            for lag in range(1, min(AHEAD, len(i) - 1) + 1):
-                k = np.flatnonzero((place[lag:] == place[:-lag]) & open_[:-lag])
-                inter = DIRECTIONS - np.bitwise_count(w[k] ^ w[k + lag]).sum(1, dtype=np.int64)  # sides in common
-                k = k[inter >= least * (2 * DIRECTIONS - inter)]
-                open_[k] = False
-                left.append(i[k])
-                right.append(i[k + lag])
-            a, c = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-            pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1)[a != c], axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["id_a", "id_b"])
+            place, i, w = b.column(0).to_numpy(), b.column(1).to_numpy(), from_binary(b.column(2), np.uint64, DIRECTIONS // 64)
+            before = [x[-1:] for x in held[-1]] if held else [place[:0], i[:0], w[:0]]
+            place, i, w = (np.concatenate(x) for x in zip(before, (place, i, w)))
+            # rows with equal words hang on the first of them
+            new = np.r_[True, (place[1:] != place[:-1]) | (w[1:] != w[:-1]).any(1)]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            yield from made(i[~new], i[first[~new]])
+            new[: len(before[0])] = False
+            place, i, w = place[new], i[new], w[new]
+            if not len(i):
+                continue
+            at = int(np.searchsorted(place, place[-1]))
+            if at or held and held[-1][0][-1] != place[0]:
+                yield from edges([*held, (place[:at], i[:at], w[:at])])
+                held = []
+            held.append((place[at:], i[at:], w[at:]))
+        if held:
+            yield from edges(held)
 
     return sorted_rows.mapInArrow(run, "id_a bigint, id_b bigint")
 
@@ -209,7 +333,7 @@ def grouped(item_data: DataFrame) -> tuple[DataFrame, DataFrame]:
     id``. The first table is stored.
     """
     rows, seen = resolved(item_data)
-    order = bands(rows).repartitionByRange("place", "id").sortWithinPartitions("place", "words", "id")
+    order = bands(rows).repartition("place").sortWithinPartitions("place", "words", "id")
     edges = candidates(order.select("place", "id", "words")).distinct()
     root = components(edges)
     ids = store(seen.select("id", "h").join(root, "id"), "members").df

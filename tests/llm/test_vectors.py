@@ -85,3 +85,32 @@ def test_neighbours_in_a_dense_group_are_found_whatever_the_blocks(spark, monkey
 def test_trees_keep_the_misses_at_the_threshold_at_every_size():
     small, large = neighbours.shape(100_000, 0.9), neighbours.shape(100_000_000, 0.9)
     assert small[1] >= 7 and large[0] > small[0] and large[1] > small[1]
+
+
+def test_every_row_of_a_bucket_is_compared(spark, monkeypatch):
+    """One bucket: many unlike rows between the members of a chain, a large near-equal group, and copies."""
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, (900, 256), dtype=np.uint8)
+    a = bits[0].copy()
+    chain = [a]
+    for k in range(5):  # neighbours differ in 30 sides (Jaccard 0.79), the next but one in 60 (0.62)
+        a = a.copy()
+        a[k * 30 : (k + 1) * 30] ^= 1
+        chain.append(a)
+    group = np.repeat(bits[1:2], 300, axis=0) ^ (rng.random((300, 256)) < 0.05).astype(np.uint8)
+    for few, tile in ((256, 64), (2_000, 64), (256, 7)):
+        monkeypatch.setattr(cl, "FEW", few)
+        monkeypatch.setattr(cl, "TILE", tile)
+        every = np.concatenate([np.array(chain), group, bits[2:], chain[2][None]])
+        rows = [(7, k, np.packbits(r).tobytes()) for k, r in enumerate(every)]
+        df = spark.createDataFrame(rows, "place bigint, id bigint, words binary").repartition(1).sortWithinPartitions("place", "words", "id")
+        got = {r["id"]: r["root"] for r in cl.components(cl.candidates(df, 0.69).distinct()).collect()}
+        members = lambda ids: {k for k, r in got.items() if r == got[ids[0]]} == set(ids)
+        assert members([*range(6), len(every) - 1]) and members(list(range(6, 306))) and len(got) == 307
+
+
+def test_crowded_buckets_are_dealt(spark, rows, monkeypatch):
+    df, _ = data(spark)
+    want = rows(clusters.tight_clusters(df.where("type")))
+    monkeypatch.setattr(cl, "BUCKET", 2)
+    assert rows(clusters.tight_clusters(df.where("type"))) == want
