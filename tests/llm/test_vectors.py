@@ -114,3 +114,17 @@ def test_crowded_buckets_are_dealt(spark, rows, monkeypatch):
     want = rows(clusters.tight_clusters(df.where("type")))
     monkeypatch.setattr(cl, "BUCKET", 2)
     assert rows(clusters.tight_clusters(df.where("type"))) == want
+
+
+def test_pairs_at_the_threshold_become_candidates():
+    """Of pairs at similarity exactly 0.9 nearly all share a band and pass the Jaccard bound."""
+    rng = np.random.default_rng(4)
+    n = 4_000
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((n, 48))), rng.standard_normal((n, 48))
+    b = 0.9 * a + (1 - 0.81) ** 0.5 * unit(b - (a * b).sum(1, keepdims=True) * a)
+    one, two = (list(cl.places(cl.binary(np.rint(x * 32_767).astype(np.int16)))) for x in (a, b))
+    met = np.any([p == q for (p, _), (q, _) in zip(one, two)], axis=0)
+    same = 256 - np.bitwise_count(one[0][1] ^ two[0][1]).sum(1, dtype=np.int64)
+    passed = same >= cl.JACCARD * (512 - same)
+    assert met.mean() > 0.99 and passed.mean() > 0.999
