@@ -132,7 +132,7 @@ class LogisticMF(_Estimator):
 
     def __init__(self) -> None:
         super().__init__()
-        self.min_user, self.min_item, self.gamma = 1, 1, None
+        self.min_user, self.min_item, self.gamma, self.max_weight = 1, 1, None, 100.0
 
     def setMinUserCount(self, n: int):
         self.min_user = self._at_least("min_user_count", n)
@@ -142,6 +142,13 @@ class LogisticMF(_Estimator):
         self.min_item = self._at_least("min_item_count", n)
         return self
 
+    def setMaxWeight(self, x: float):
+        """Largest weight of an implicit rating; larger ones count as this."""
+        if not x > 0:
+            raise ValueError("max_weight must be positive")
+        self.max_weight = float(x)
+        return self
+
     def setImplicitPref(self, on: bool):
         return self._with(implicit=on)
 
@@ -156,12 +163,15 @@ class LogisticMF(_Estimator):
         """``type, id, cn, f`` after training.
 
         Rows with a null id, or a null or NaN rating, are left out. Explicit ratings must be 0 or 1. All negatives of a
-        pair weigh as much as the pair, unless gamma is set.
+        pair weigh as much as the pair, unless gamma is set. An implicit rating is a weight: a negative one weighs nothing and
+        an absurd one, infinity included, as much as ``setMaxWeight`` (100) allows; their rows count and their ids have vectors.
         """
         p = self.params if self.gamma is not None else replace(self.params, gamma=1 / self.params.negative)
         rows = store(tables.ratings(df).where("user IS NOT NULL AND item IS NOT NULL AND rating IS NOT NULL AND NOT isnan(rating)"), "ratings")
         if not p.implicit and (bad := rows.df.where("rating NOT IN (0, 1)").first()):
             raise ValueError(f"explicit ratings must be 0 or 1, not {bad['rating']}")
         pairs = pair_ops.rating_pairs(rows.df, p.implicit)
+        if p.implicit:
+            pairs = pairs.withColumn("weight", F.least(F.greatest("weight", F.lit(0.0)), F.lit(self.max_weight)).cast("float"))
         out, self.metrics = train(self.initial(rows.df), lambda e, r: pairs, p, same_domain=False)
         return out

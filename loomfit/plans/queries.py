@@ -205,7 +205,7 @@ def _factors() -> LogisticMF:
 
 
 def train_lmf_implicit(spark, d):
-    return _factors().setMinItemCount(5).fit(table(spark, d, "ratings").where("rating BETWEEN 0 AND 100"))
+    return _factors().setMinItemCount(5).fit(table(spark, d, "ratings"))
 
 
 def train_lmf_explicit(spark, d):

@@ -117,3 +117,15 @@ def test_factorization(spark):
     assert LogisticMF().setVectorSize(4).setMinUserCount(100).fit(df).where("NOT type").count() == 0
     with pytest.raises(ValueError, match="0 or 1"):
         m.fit(spark.createDataFrame([(1, 1, 0.5)], "user bigint, item bigint, rating float"))
+
+
+def test_implicit_query_trains_on_negative_and_absurd_ratings_too(spark, tmp_path):
+    from loomfit.plans import queries
+
+    rng = np.random.default_rng(1)
+    rows = [(int(u), int(i), float(x)) for u, i, x in zip(rng.integers(0, 20, 300), rng.integers(0, 8, 300), rng.integers(1, 6, 300))]
+    rows += [(100, 1, -25.0), (101, 2, 9999.0), (102, 3, float("inf")), (103, 4, None), (104, 5, float("nan"))]
+    spark.createDataFrame(rows, "user bigint, item bigint, rating float").write.parquet(f"{tmp_path}/ratings.parquet")
+    got = {r["id"]: r["f"] for r in queries.train_lmf_implicit(spark, str(tmp_path)).where("NOT type").collect()}
+    assert {100, 101, 102} <= set(got) and not {103, 104} & set(got)
+    assert all(np.isfinite(f).all() and np.abs(f).max() < 100 for f in got.values())
