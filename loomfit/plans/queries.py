@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from loomfit.functions import scalars
 from loomfit.functions.hashing import RIGHT_SALT, hashed, partitions, units
 from loomfit.operators import pairs, vocab
 from loomfit.plans.estimators import LogisticMF, SkipGram
-from loomfit.session import store
+from loomfit.session import shared_dir, store
 from loomfit.sources import checkpoint, tables
 from loomfit.sources.tables import table
 
@@ -180,8 +181,13 @@ def init_vectors(spark, d):
 
 
 def checkpoint_roundtrip(spark, d):
-    rows = store(init_vectors(spark, d), "roundtrip")
-    return checkpoint.read(spark, rows.path)
+    """First vectors through the sink, which replaces what an earlier run left, and back from the latest state found."""
+    root = f"{shared_dir(spark).rstrip('/')}/loomfit/roundtrip-{uuid.uuid4().hex}"
+    rows = init_vectors(spark, d)
+    checkpoint.write(rows.limit(1), f"{root}/0_1")
+    checkpoint.write(rows, f"{root}/0_1")
+    epoch, done = checkpoint.latest_committed(spark, root)
+    return checkpoint.read(spark, f"{root}/{epoch}_{done}")
 
 
 def _skipgram(mode: str) -> SkipGram:

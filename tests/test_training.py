@@ -129,3 +129,13 @@ def test_implicit_query_trains_on_negative_and_absurd_ratings_too(spark, tmp_pat
     got = {r["id"]: r["f"] for r in queries.train_lmf_implicit(spark, str(tmp_path)).where("NOT type").collect()}
     assert {100, 101, 102} <= set(got) and not {103, 104} & set(got)
     assert all(np.isfinite(f).all() and np.abs(f).max() < 100 for f in got.values())
+
+
+def test_roundtrip_query_goes_through_the_checkpoint_sink(spark, rows, monkeypatch):
+    from loomfit.plans import queries
+
+    folder, paths, write = "/root/testdata/sf0.001", [], checkpoint.write
+    monkeypatch.setattr(checkpoint, "write", lambda df, path: paths.append(path) or write(df, path))
+    got = queries.checkpoint_roundtrip(spark, folder)
+    assert paths and all(p.rsplit("/", 1)[1] == "0_1" for p in paths)
+    assert rows(got) == rows(queries.init_vectors(spark, folder).select("type", "id", "cn", "f"))
