@@ -86,10 +86,18 @@ def partitions(df: DataFrame, epoch: int, rotation: int | Column, n: int, left:
     return out
 
 
-def uniform(seed: Column | int, *key: Column) -> Column:
-    """A reproducible number in [0, 1) for a key."""
-    bits = F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, *key)
-    return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
+def owners(df: DataFrame, epoch: int, n: int, left: str, right: str) -> DataFrame:
+    """Adds ``rotation`` and ``part``: the one rotation of an epoch, and the partition, in which a pair's ids meet.
+
+    It solves the right id's permutation for its left id's partition, so all rotations' pairs come from one scan.
+    """
+    u = units(n)
+    wanted = {"part": (F.col(left), epoch, n), "step_": (F.col(right), RIGHT_SALT + 2 * epoch, len(u)), "shift_": (F.col(right), RIGHT_SALT + 2 * epoch + 1, n)}
+    back = F.get(F.array(*[F.lit(pow(a, -1, n)) for a in u]), F.col("step_"))
+    out = hashed(df, wanted).withColumn("rotation", F.pmod(back.cast("bigint") * (F.col("part") - F.col("shift_")), F.lit(n)).cast("int"))
+    return out.select(*df.columns, "rotation", "part")
+
+
 def uniform(seed: Column | int, *key: Column) -> Column:
     """A reproducible number in [0, 1) for a key."""
     bits = F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, *key)

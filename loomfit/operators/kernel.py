@@ -1,7 +1,9 @@
 """The gradient steps of one partition, in NumPy over Arrow batches.
 
-Pairs are trained in mini-batches: scores are computed from the vectors as they are, and the updates of equal ids add up.
-A batch of one pair is the sequential rule exactly.
+Pairs are trained in mini-batches: scores are computed from the vectors as they are, and the updates of equal ids add up,
+scaled down where they would step over their common goal (see ``CURVATURE``): from stale vectors a frequent id would otherwise
+step ever further. For the same reason a batch has at most a quarter as many pairs as the partition has ids on its smaller
+side. A batch of one pair is the sequential rule exactly.
 """
 
 from __future__ import annotations
@@ -14,19 +16,26 @@ import pyarrow as pa
 from loomfit.functions.scalars import MISS, SATURATION
 from loomfit.params import TrainParams
 
-#: Draws after which a negative equal to the pair's own left id is left out.
-RETRIES = 10
+#: Most curvature that the updates of an id in one batch may meet: the sum of learning rate, weight and squared length of the
+#: vectors on the other side. From 8 on their sum may end up further from its goal than it began.
+CURVATURE = 2.0
 
 
-def scatter_add(m: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """``m[at] += rows``, rows of equal positions added up."""
+def scatter_add(m: np.ndarray, at: np.ndarray, rows: np.ndarray, bend: np.ndarray | None = None) -> None:
+    """``m[at] += rows``, rows of equal positions added up, and scaled down where their ``bend`` adds up to more than
+    ``CURVATURE``. A row that is alone is taken as it is."""
     if len(at) == 1:
         m[at[0]] += rows[0]
         return
     order = np.argsort(at, kind="stable")
     at = at[order]
     start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    m[at[start]] += np.add.reduceat(rows[order], start, axis=0)
+    total = np.add.reduceat(rows[order], start, axis=0)
+    if bend is not None:
+        sharp = np.add.reduceat(bend[order], start)
+        over = (sharp > CURVATURE) & (np.diff(np.r_[start, len(at)]) > 1)
+        total[over] *= (CURVATURE / sharp[over]).astype(rows.dtype)[:, None]
+    m[at[start]] += total
 
 
 def sigmoid(f: np.ndarray) -> np.ndarray:
@@ -74,23 +83,23 @@ class Local:
         k = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
         return np.where(ids[k] == x, k, -1)
 
-    def draw(self, n: int) -> np.ndarray:
+    def negatives(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One negative for every pair, and which of them count. ``own`` is the place of the pair's left id among the right
+        ids, -1 if it has none: that one is never drawn, as if drawing went on until another came out.
+        """
+        n = len(self.ids[1])
+        some = own >= 0
         if self.p.pow > 0:
-            return np.minimum(np.searchsorted(self.cdf, self.rng.random(n), side="right"), len(self.cdf) - 1)
-        return self.rng.integers(0, len(self.ids[1]), n)
-
-    def negatives(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One negative for every pair, and which of them count: not the left id itself, where both sides share ids."""
-        got = self.draw(len(left))
-        if not self.same_domain:
-            return got, np.ones(len(got), bool)
-        bad = self.ids[1][got] == left
-        for _ in range(RETRIES):
-            if not bad.any():
-                break
-            got[bad] = self.draw(int(bad.sum()))
-            bad = self.ids[1][got] == left
-        return got, ~bad
+            below = np.where(own > 0, self.cdf[own - 1], 0.0)
+            width = np.where(some, self.cdf[own] - below, 0.0)
+            u = self.rng.random(len(own)) * (1 - width)
+            got = np.minimum(np.searchsorted(self.cdf, u + np.where(some & (u >= below), width, 0.0), side="right"), n - 1)
+            near = some & (got == own)  # only by rounding
+            got[near] = (own[near] + 1) % n
+        else:
+            got = self.rng.integers(0, np.maximum(n - some, 1))
+            got += some & (got >= own) & (n > 1)
+        return got, ~(some & (n == 1))
 
     def train(self, left: np.ndarray, right: np.ndarray, label: np.ndarray | None, weight: np.ndarray | None) -> None:
         """All pairs once, in the order given. Pairs with an id that has no vector are skipped."""
@@ -98,22 +107,23 @@ class Local:
             self.start()
         l, r = self.find(0, left), self.find(1, right)
         ok = (l >= 0) & (r >= 0)
-        l, r, left = l[ok], r[ok], left[ok]
+        own = self.find(1, left[ok]) if self.same_domain else np.full(int(ok.sum()), -1)
+        l, r = l[ok], r[ok]
         label = np.ones(len(l)) if label is None else label[ok]
         weight = np.ones(len(l)) if weight is None else weight[ok]
-        step = max(1, min(self.p.batch_size, min(len(self.ids[0]), len(self.ids[1])) // 4))
-        for k in range(0, len(l), step):
-            s = slice(k, k + step)
-            self.step(l[s], r[s], left[s], label[s], weight[s])
+        size = max(1, min(self.p.batch_size, min(len(self.ids[0]), len(self.ids[1])) // 4))
+        for k in range(0, len(l), size):
+            s = slice(k, k + size)
+            self.step(l[s], r[s], own[s], label[s], weight[s])
         self.pairs += len(l)
 
-    def step(self, l: np.ndarray, r: np.ndarray, left: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+    def step(self, l: np.ndarray, r: np.ndarray, own: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
         p, dim = self.p, self.p.vector_size
         a = self.f[0][l]
-        gain = np.zeros_like(a)
+        gain, bend = np.zeros_like(a), np.zeros(len(l))
         for d in range(p.negatives + 1):
             if d:
-                target, ok = self.negatives(left)
+                target, ok = self.negatives(own)
                 y, w = np.zeros(len(l)), p.gamma * weight * ok
             else:
                 target, y, w = r, label, weight
@@ -133,8 +143,10 @@ class Local:
                 self.penalty += float((w * (p.lambda_l * (a[:, :dim] ** 2).sum(1) + p.lambda_r * (b[:, :dim] ** 2).sum(1))).sum())
                 gain[:, :dim] -= p.lambda_l * lr * a[:, :dim]
                 up[:, :dim] -= p.lambda_r * lr * b[:, :dim]
-            scatter_add(self.f[1], target, up)
-        scatter_add(self.f[0], l, gain)
+            rate = p.learning_rate * w
+            bend += rate * np.einsum("ij,ij->i", b, b, dtype=np.float64)
+            scatter_add(self.f[1], target, up, rate * np.einsum("ij,ij->i", a, a, dtype=np.float64))
+        scatter_add(self.f[0], l, gain, bend)
 
     def rows(self) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
         if not self.ready:
@@ -149,8 +161,9 @@ OUT = "type boolean, id bigint, cn bigint, f array<float>, loss double, penalty
 def train_partition(batches: Iterator[pa.RecordBatch], p: TrainParams, seed: tuple[int, ...], same_domain: bool) -> Iterator[pa.RecordBatch]:
     """Rows ``tag, part, type, id, cn, f, left, right, label, weight``, vectors (tag 0) before pairs, to trained vectors.
 
-    The last row has null for the vector and the partition's loss instead. A partition without pairs returns its vectors
-    as they are, one without rows nothing.
+    The last row has null for the vector and the partition's loss instead, NaN if a vector is no longer finite. A partition
+    without pairs returns its vectors as they are, one without rows nothing. A null weight is 1; a pair with a null label is
+    left out of explicit training.
     """
     local: Local | None = None
     for b in batches:
@@ -166,12 +179,16 @@ def train_partition(batches: Iterator[pa.RecordBatch], p: TrainParams, seed: tup
             local.load(v.column("type").to_numpy(zero_copy_only=False), v.column("id").to_numpy(), v.column("cn").to_numpy(), f)
         if n < b.num_rows:
             x = b.slice(n)
-            label, weight = (None if x.column(c).null_count else x.column(c).to_numpy().astype(np.float64) for c in ("label", "weight"))
-            local.train(x.column("left").to_numpy(), x.column("right").to_numpy(), None if p.implicit else label, weight if p.implicit else None)
+            if not p.implicit:
+                x = x.filter(x.column("label").is_valid())
+            given = x.column("weight" if p.implicit else "label").fill_null(1.0).to_numpy(zero_copy_only=False).astype(np.float64)
+            local.train(x.column("left").to_numpy(), x.column("right").to_numpy(), None if p.implicit else given, given if p.implicit else None)
     if local is None:
         return
     names = [c.split()[0] for c in OUT.split(", ")]
     for side, ids, cn, f in local.rows():
+        if not np.isfinite(f).all():
+            local.loss = float("nan")
         for k in range(0, len(ids), 20_000):
             m = len(ids[k : k + 20_000])
             vec = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * p.width), pa.array(f[k : k + m].ravel()))

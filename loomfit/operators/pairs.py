@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfit.functions.hashing import partitions
-
 
 def window_pairs(seqs: DataFrame, window: int) -> DataFrame:
     """``left, right``: every position with every other at most ``window`` away, ids unequal, duplicates kept.
@@ -80,11 +78,3 @@ def rating_pairs(ratings: DataFrame, implicit: bool) -> DataFrame:
     none = F.lit(None).cast("float")
     label, weight = (none, F.col("rating")) if implicit else (F.col("rating"), none)
     return ratings.where("user IS NOT NULL AND item IS NOT NULL").select(F.col("user").alias("left"), F.col("item").alias("right"), label.alias("label"), weight.alias("weight"))
-
-
-def owned(pairs: DataFrame, epoch: int, rotation: int, n: int) -> DataFrame:
-    """``part`` and the pairs both of whose vectors are in one partition in this rotation."""
-    both = partitions(pairs, epoch, rotation, n, "left", "right")
-    # a filter is not pushed below a column that depends on the task, which keeps it above the steps of the hash
-    here = both.withColumn("task_", F.spark_partition_id()).where("left_part = right_part AND task_ >= 0")
-    return here.select(F.col("left_part").alias("part"), *pairs.columns)

@@ -21,6 +21,7 @@ class _Estimator:
     def __init__(self) -> None:
         self.params = TrainParams()
         self.metrics = Metrics()
+        self.checkpoint: list = [None, 0]
 
     def _with(self, **values):
         self.params = replace(self.params, **values)
@@ -67,7 +68,38 @@ class _Estimator:
 
     def setCheckpoint(self, path: str, interval: int):
         """Write the vectors every ``interval`` rotations under ``path``, and take up what is found there."""
-        return self._with(checkpoint_path=path, checkpoint_interval=interval)
+        return self.setCheckpointPath(path).setCheckpointInterval(interval)
+
+    def setCheckpointPath(self, path: str):
+        """Goes together with :meth:`setCheckpointInterval`; the order does not matter."""
+        self.checkpoint[0] = path
+        return self
+
+    def setCheckpointInterval(self, interval: int):
+        """In rotations."""
+        self.checkpoint[1] = self._at_least("checkpoint_interval", interval)
+        return self
+
+    def setNumThread(self, n: int):
+        """Accepted without effect: every partition is trained by one thread, and there are as many tasks as partitions."""
+        self._at_least("num_thread", n)
+        return self
+
+    def setIntermediateRDDStorageLevel(self, level: object):
+        """Accepted without effect: intermediate tables are written to the shared folder, where executors cannot lose them."""
+        if str(level).upper() == "NONE":
+            raise ValueError("the storage level must not be NONE")
+        return self
+
+    def _ready(self) -> TrainParams:
+        """The parameters, with path and interval of checkpoints checked."""
+        path, interval = self.checkpoint
+        return replace(self.params, checkpoint_path=path, checkpoint_interval=interval)
+
+    @staticmethod
+    def _spread(df: DataFrame) -> DataFrame:
+        """The input dealt evenly over the cluster: few or large files would leave pairing to few tasks."""
+        return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     @staticmethod
     def _at_least(name: str, n: int) -> int:
@@ -104,8 +136,8 @@ class SkipGram(_Estimator):
         rows = vocab.signed_roles(rows) if self.mode == "ITEM2VEC_POS2NEG" else rows
         return vocab.first_vectors(rows, self.params.vector_size, self.params.use_bias, self.params.seed)
 
-    def pairs(self, seqs: DataFrame, epoch: int, rotation: int) -> DataFrame:
-        seed = self.params.seed * 1_000_003 + epoch * 10_007 + rotation
+    def pairs(self, seqs: DataFrame, epoch: int) -> DataFrame:
+        seed = self.params.seed * 1_000_003 + epoch
         if self.mode == "WINDOW":
             got = pair_ops.window_pairs(seqs, self.window)
         elif self.mode == "ITEM2VEC":
@@ -122,8 +154,10 @@ class SkipGram(_Estimator):
         """
         if self.mode is None:
             raise ValueError("set a sampling mode first")
-        seqs = store(tables.sequences(df), "sequences")
-        out, self.metrics = train(self.initial(seqs.df), lambda e, r: self.pairs(seqs.df, e, r), self.params, same_domain=True)
+        p = self._ready()
+        seqs = store(self._spread(tables.sequences(df)), "sequences")
+        out, self.metrics = train(self.initial(seqs.df), lambda e: self.pairs(seqs.df, e), p, same_domain=True)
+        seqs.drop()
         return out
 
 
@@ -166,12 +200,15 @@ class LogisticMF(_Estimator):
         pair weigh as much as the pair, unless gamma is set. An implicit rating is a weight: a negative one weighs nothing and
         an absurd one, infinity included, as much as ``setMaxWeight`` (100) allows; their rows count and their ids have vectors.
         """
-        p = self.params if self.gamma is not None else replace(self.params, gamma=1 / self.params.negative)
-        rows = store(tables.ratings(df).where("user IS NOT NULL AND item IS NOT NULL AND rating IS NOT NULL AND NOT isnan(rating)"), "ratings")
+        p = self._ready()
+        p = p if self.gamma is not None else replace(p, gamma=1 / p.negative)
+        known = tables.ratings(df).where("user IS NOT NULL AND item IS NOT NULL AND rating IS NOT NULL AND NOT isnan(rating)")
+        rows = store(self._spread(known), "ratings")
         if not p.implicit and (bad := rows.df.where("rating NOT IN (0, 1)").first()):
             raise ValueError(f"explicit ratings must be 0 or 1, not {bad['rating']}")
         pairs = pair_ops.rating_pairs(rows.df, p.implicit)
         if p.implicit:
             pairs = pairs.withColumn("weight", F.least(F.greatest("weight", F.lit(0.0)), F.lit(self.max_weight)).cast("float"))
-        out, self.metrics = train(self.initial(rows.df), lambda e, r: pairs, p, same_domain=False)
+        out, self.metrics = train(self.initial(rows.df), lambda e: pairs, p, same_domain=False)
+        rows.drop()
         return out

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfit.functions import scalars
-from loomfit.functions.hashing import RIGHT_SALT, hashed, partitions, units
+from loomfit.functions.hashing import RIGHT_SALT, hashed, owners, partitions, units
 from loomfit.operators import pairs, vocab
+from loomfit.params import TrainParams
 from loomfit.plans.estimators import LogisticMF, SkipGram
+from loomfit.plans.trainer import epoch_pairs, train
 from loomfit.session import shared_dir, store
 from loomfit.sources import checkpoint, tables
 from loomfit.sources.tables import table
@@ -40,7 +42,9 @@ def sequence_scan(spark, d):
 
 
 def rating_scan(spark, d):
-    return tables.ratings(table(spark, d, "ratings")).where("NOT isnan(rating) OR rating IS NULL")
+    """All ratings; NaN, which is unequal to itself, as a column of its own."""
+    nan = F.coalesce(F.isnan("rating"), F.lit(False))
+    return tables.ratings(table(spark, d, "ratings")).select("user", "item", F.when(~nan, F.col("rating")).alias("rating"), nan.alias("nan"))
 
 
 def vocab_count(spark, d):
@@ -72,10 +76,9 @@ def window_pairs(spark, d):
 
 
 def pairs_by_part(spark, d):
-    """Pairs of each partition in each rotation of the first epoch."""
-    every = store(window_pairs(spark, d), "pairs").df.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
-    both = partitions(every, 0, F.col("rotation"), N, "left", "right").withColumn("task_", F.spark_partition_id())
-    return both.where("left_part = right_part AND task_ >= 0").groupBy("rotation", F.col("left_part").alias("part")).agg(F.count(F.lit(1)).alias("pairs"))
+    """Pairs of each partition in each rotation of the first epoch, as training reads them."""
+    made = epoch_pairs(window_pairs(spark, d).withColumns({"label": F.lit(None).cast("float"), "weight": F.lit(None).cast("float")}), 0, N)
+    return made.df.groupBy("rotation", "part").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def oov_pairs(spark, d):
@@ -102,6 +105,28 @@ def pos2neg_pairs(spark, d):
     return pairs.pos2neg_pairs(_signed(spark, d), 1, 1)
 
 
+def _drawn(pairs: DataFrame, allowed: DataFrame, again: DataFrame) -> DataFrame:
+    """Per left id the drawn pairs, those that no basket allows, and whether drawing again gives the same pairs."""
+    both = pairs.withColumn("n", F.lit(1)).unionByName(again.withColumn("n", F.lit(-1)))
+    each = both.groupBy("left", "right").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("pairs"), F.sum("n").alias("off"))
+    known = each.join(allowed.distinct().withColumn("known", F.lit(True)), ["left", "right"], "left")
+    return known.groupBy("left").agg(F.sum("pairs").alias("pairs"), F.count_if(F.col("known").isNull()).alias("strange"), F.bool_and(F.col("off") == 0).alias("same"))
+
+
+def item2vec_drawn(spark, d):
+    """Drawn pairs of the baskets without repeated parts, by left id: their number is the budget, both ids are of one basket."""
+    s = _baskets(spark, d).where(F.size(F.array_distinct("sequence")) == F.size("sequence"))
+    return _drawn(pairs.item2vec_pairs(s, WINDOW, 1), pairs.window_pairs(s, 1_000), pairs.item2vec_pairs(s, WINDOW, 1))
+
+
+def pos2neg_drawn(spark, d):
+    """The same of two-role baskets: parts with suppliers."""
+    s = _signed(spark, d)
+    left, right = pairs.sequence_parts(F.col("sequence"))
+    allowed = s.select(F.explode(left).alias("left"), right.alias("r")).select("left", F.explode("r").alias("right"))
+    return _drawn(pairs.pos2neg_pairs(s, 1, 1), allowed, pairs.pos2neg_pairs(s, 1, 1))
+
+
 def lmf_pairs_implicit(spark, d):
     return pairs.rating_pairs(_ratings(spark, d), True)
 
@@ -190,6 +215,19 @@ def checkpoint_roundtrip(spark, d):
     return checkpoint.read(spark, f"{root}/{epoch}_{done}")
 
 
+def init_vectors_check(spark, d):
+    """Per side the first vectors: those of the right length, within the bounds, with bias 0, and the distinct ones."""
+    x = F.slice("f", 1, 16)
+    ok = {"sound": F.size("f") == 17, "bounded": F.forall(x, lambda v: F.abs(v) <= 0.5 / 16), "unbiased": F.get("f", F.lit(16)) == 0}
+    return init_vectors(spark, d).groupBy("type").agg(*[F.count_if(c).alias(name) for name, c in ok.items()], F.count_distinct("f").alias("distinct"))
+
+
+def checkpoint_check(spark, d):
+    """Every row of the first vectors, and whether it came back from the sink unchanged."""
+    back = checkpoint_roundtrip(spark, d).withColumnsRenamed({"cn": "cn_", "f": "f_"})
+    return init_vectors(spark, d).join(back, ["type", "id"], "full").select("type", "id", "cn", F.coalesce((F.col("cn") == F.col("cn_")) & (F.col("f") == F.col("f_")), F.lit(False)).alias("same"))
+
+
 def _skipgram(mode: str) -> SkipGram:
     return SkipGram().setVectorSize(32).setSamplingMode(mode).setLearningRate(LR).setNumPartitions(5).setSeed(1)
 
@@ -218,13 +256,65 @@ def train_lmf_explicit(spark, d):
     return _factors().setImplicitPref(False).fit(_ratings(spark, d, True))
 
 
+def _checked(model, df: DataFrame) -> DataFrame:
+    """One row: the vectors, how many of them are finite, and whether the last rotation's loss per pair is below the first's."""
+    out = model.setNumIterations(2).fit(df)
+    mean = [r["loss"] / r["pairs"] for r in model.metrics.rotations if r["pairs"]]
+    sound = F.forall("f", lambda v: ~F.isnan(v) & (F.abs(v) < 1_000))
+    return out.agg(F.count(F.lit(1)).alias("vectors"), F.count_if(sound).alias("finite"), F.lit(mean[-1] < mean[0]).alias("learned"))
+
+
+def train_check_window(spark, d):
+    return _checked(_skipgram("WINDOW").setWindowSize(WINDOW), _baskets(spark, d))
+
+
+def train_check_item2vec(spark, d):
+    return _checked(_skipgram("ITEM2VEC").setPow(0.75), _baskets(spark, d))
+
+
+def train_check_pos2neg(spark, d):
+    return _checked(_skipgram("ITEM2VEC_POS2NEG").setUseBias(True), _signed(spark, d))
+
+
+def train_check_implicit(spark, d):
+    return _checked(_factors().setMinItemCount(5), table(spark, d, "ratings"))
+
+
+def train_check_explicit(spark, d):
+    return _checked(_factors().setImplicitPref(False), _ratings(spark, d, True))
+
+
+#: Learning rate and L2 weights of the queries that check the trainer's values.
+STEP, LEFT_L2, RIGHT_L2 = 0.5, 0.03, 0.02
+
+
+def explicit_step(spark, d):
+    """Trained values of vectors each of which is in one pair: every vector of ``embeddings`` with that of the next id."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(1).cast("bigint").alias("cn"), F.col("embedding").alias("f"))
+    start = e.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("type"), "id", "cn", "f")
+    made = _scores(spark, d).select(F.col("vec_id").alias("left"), (F.col("vec_id") + 1).alias("right"), F.col("y").cast("float").alias("label"), F.lit(None).cast("float").alias("weight"))
+    p = TrainParams(vector_size=DIM, implicit=False, num_partitions=3, learning_rate=STEP, lambda_l=LEFT_L2, lambda_r=RIGHT_L2)
+    out, _ = train(start, lambda e: made, p, same_domain=False)
+    return out.select("type", "id", F.round(F.get("f", F.lit(0)).cast("double"), 4).alias("x0"), F.round(F.get("f", F.lit(DIM - 1)).cast("double"), 4).alias("x63"))
+
+
+def negative_step(spark, d):
+    """Trained values of one pair and five negatives, which of two right vectors can only be the one that is not the left id's."""
+    e = table(spark, d, "embeddings").where("vec_id < 2").select(F.col("vec_id").alias("id"), F.lit(1).cast("bigint").alias("cn"), F.col("embedding").alias("f"))
+    start = e.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("type"), "id", "cn", "f").where("type OR id = 0")
+    made = spark.createDataFrame([(0, 1, None, 2.0)], "left bigint, right bigint, label float, weight float")
+    out, _ = train(start, lambda e: made, TrainParams(vector_size=DIM, learning_rate=STEP, gamma=0.5, batch_size=1), same_domain=True)
+    return out.select("type", "id", F.round(F.get("f", F.lit(0)).cast("double"), 5).alias("x0"), F.round(F.get("f", F.lit(DIM - 1)).cast("double"), 5).alias("x63"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f"q_{f.__name__}": f
     for f in (
         sequence_scan, rating_scan, vocab_count, vocab_min_count, lmf_roles_count, lmf_roles_min_count, pos2neg_roles, skipgram_init_rows, window_pairs, pairs_by_part, oov_pairs,
         item2vec_draws, pos2neg_draws, item2vec_pairs, pos2neg_pairs, lmf_pairs_implicit, lmf_pairs_explicit, lmf_pairs_by_part, partition_hash, rotation_exactly_once, unigram_prob,
         unigram_cdf, dot_score, sigmoid, sigmoid_table, logloss, gradient_step, latest_checkpoint, init_vectors, checkpoint_roundtrip, train_skipgram_window, train_skipgram_item2vec,
-        train_skipgram_pos2neg, train_lmf_implicit, train_lmf_explicit,
+        train_skipgram_pos2neg, train_lmf_implicit, train_lmf_explicit, item2vec_drawn, pos2neg_drawn, init_vectors_check, checkpoint_check, train_check_window, train_check_item2vec,
+        train_check_pos2neg, train_check_implicit, train_check_explicit, explicit_step, negative_step,
     )
 }
 
@@ -259,7 +349,7 @@ def _hash_steps(source: str, x: str, salts: dict[str, tuple[int, int]]) -> str:
 
 _SQL = {
     "sequence_scan": "SELECT sequence FROM item_seqs",
-    "rating_scan": 'SELECT "user", item, rating FROM ratings WHERE NOT isnan(rating) OR rating IS NULL',
+    "rating_scan": 'SELECT "user", item, CASE WHEN NOT isnan(rating) THEN rating END AS rating, coalesce(isnan(rating), false) AS nan FROM ratings',
     "vocab_count": f"WITH {BASKETS} SELECT id, count(*) AS cn FROM w GROUP BY id",
     "vocab_min_count": f"WITH {BASKETS} SELECT id, count(*) AS cn FROM w GROUP BY id HAVING count(*) >= 30",
     "lmf_roles_count": f"WITH {SIDES} SELECT * FROM k",
@@ -289,4 +379,30 @@ _SQL = {
     "latest_checkpoint": "WITH n(name, committed) AS (VALUES " + ", ".join(f"('{a}', {str(c).lower()})" for a, c in NAMES) + "), m AS (SELECT CAST(split_part(name, '_', 1) AS INTEGER) AS epoch, CAST(split_part(name, '_', 2) AS INTEGER) AS iter"
     " FROM n WHERE committed AND regexp_full_match(name, '[0-9]+_[0-9]+')) SELECT epoch, iter FROM m ORDER BY epoch DESC, iter DESC LIMIT 1",
 }
+_SQL |= {
+    "item2vec_drawn": f"WITH {BASKETS}, x AS (SELECT unnest(sequence) AS id, least({2 * WINDOW}, len(sequence) - 1) AS n FROM b WHERE len(list_distinct(sequence)) = len(sequence) AND len(sequence) > 1)"
+    " SELECT id AS \"left\", sum(n)::BIGINT AS pairs, 0::BIGINT AS strange, true AS same FROM x GROUP BY ALL",
+    "pos2neg_drawn": "WITH b AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_partkey + 1 AS \"left\", sum(least(2, n - 1))::BIGINT AS pairs, 0::BIGINT AS strange, true AS same"
+    " FROM lineitem JOIN b USING (l_orderkey) WHERE n > 1 GROUP BY ALL",
+    "init_vectors_check": f"WITH {BASKETS}, k AS (SELECT id FROM w GROUP BY id HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM k)"
+    ' SELECT unnest([false, true]) AS type, n AS sound, n AS bounded, n AS unbiased, n AS "distinct" FROM n',
+    "checkpoint_check": f"WITH {BASKETS}, k AS (SELECT id, count(*) AS cn FROM w GROUP BY id HAVING count(*) >= 2) SELECT unnest([false, true]) AS type, id, cn, true AS same FROM k",
+    "train_check_window": "SELECT 2 * count(DISTINCT l_partkey) AS vectors, 2 * count(DISTINCT l_partkey) AS finite, true AS learned FROM lineitem",
+    "train_check_item2vec": "SELECT 2 * count(DISTINCT l_partkey) AS vectors, 2 * count(DISTINCT l_partkey) AS finite, true AS learned FROM lineitem",
+    "train_check_pos2neg": "WITH n AS (SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS n FROM lineitem) SELECT n AS vectors, n AS finite, true AS learned FROM n",
+    "train_check_implicit": 'WITH r AS (SELECT "user", item FROM ratings WHERE "user" IS NOT NULL AND item IS NOT NULL AND rating IS NOT NULL AND NOT isnan(rating)),'
+    ' i AS (SELECT item FROM r GROUP BY item HAVING count(*) >= 5), n AS (SELECT (SELECT count(DISTINCT "user") FROM r) + (SELECT count(*) FROM i) AS n) SELECT n AS vectors, n AS finite, true AS learned FROM n',
+    "train_check_explicit": f'WITH {RETURNED}, n AS (SELECT count(DISTINCT "user") + count(DISTINCT item) AS n FROM r) SELECT n AS vectors, n AS finite, true AS learned FROM n',
+    "explicit_step": f"WITH {SCORES.replace('10 * list_sum', 'list_sum')}, s AS (SELECT vec_id, a, b, {STEP} * (y - 1 / (1 + exp(-f))) AS g FROM f),"
+    f" l AS (SELECT vec_id AS id, a[1] + g * b[1] - {STEP * LEFT_L2} * a[1] AS p, a[{DIM}] + g * b[{DIM}] - {STEP * LEFT_L2} * a[{DIM}] AS q FROM s),"
+    f" r AS (SELECT vec_id + 1 AS id, b[1] + g * a[1] - {STEP * RIGHT_L2} * b[1] AS p, b[{DIM}] + g * a[{DIM}] - {STEP * RIGHT_L2} * b[{DIM}] AS q FROM s),"
+    f" z AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS p, embedding[{DIM}]::DOUBLE AS q FROM embeddings)"
+    " SELECT false AS type, z.id, round(coalesce(l.p, z.p), 4) AS x0, round(coalesce(l.q, z.q), 4) AS x63 FROM z LEFT JOIN l USING (id)"
+    " UNION ALL SELECT true, z.id, round(coalesce(r.p, z.p), 4), round(coalesce(r.q, z.q), 4) FROM z LEFT JOIN r USING (id)",
+    "negative_step": f"WITH RECURSIVE v AS (SELECT a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1),"
+    f" t AS (SELECT 0 AS k, a, b, [0.0::DOUBLE for x in a] AS up FROM v UNION ALL SELECT k + 1, a, [x[1] + g * x[2] for x in list_zip(b, a)], [x[1] + g * x[2] for x in list_zip(up, b)]"
+    f" FROM (SELECT *, {STEP} * CASE WHEN k = 0 THEN 2 ELSE 1 END * (CASE WHEN k = 0 THEN 1 ELSE 0 END - 1 / (1 + exp(-list_dot_product(a, b)))) AS g FROM t WHERE k < 6)),"
+    f" z AS (SELECT * FROM t WHERE k = 6) SELECT false AS type, 0::BIGINT AS id, round(a[1] + up[1], 5) AS x0, round(a[{DIM}] + up[{DIM}], 5) AS x63 FROM z UNION ALL SELECT true, 1, round(b[1], 5), round(b[{DIM}], 5) FROM z"
+    f" UNION ALL SELECT true, 0, round(embedding[1]::DOUBLE, 5), round(embedding[{DIM}]::DOUBLE, 5) FROM embeddings WHERE vec_id = 0",
+}
 SQL: dict[str, str] = {f"q_{name}": text for name, text in _SQL.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -9,20 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfit.functions.hashing import partitions
+from loomfit.functions.hashing import owners, partitions
 from loomfit.operators.kernel import OUT, train_partition
-from loomfit.operators.pairs import owned
 from loomfit.params import TrainParams
 from loomfit.session import Stored, ship, store
 from loomfit.sources import checkpoint
 
-#: The pairs of an epoch and rotation, not yet reduced to the owned ones: ``left, right, label, weight``.
-Pairs = Callable[[int, int], DataFrame]
+#: All pairs of an epoch: ``left, right, label, weight``.
+Pairs = Callable[[int], DataFrame]
+PAIR = ("left", "right", "label", "weight")
 
 
 @dataclass
 class Metrics:
-    """Loss of every rotation: summed over its pairs and negatives, and its L2 term."""
+    """Loss of every rotation: summed over its pairs and negatives, and its L2 term; pairs, and those of the largest partition."""
 
     rotations: list[dict[str, float]] = field(default_factory=list)
 
@@ -33,43 +34,64 @@ def dealt(vectors: DataFrame, epoch: int, rotation: int, n: int) -> DataFrame:
     return both.withColumn("part", F.when(F.col("type"), F.col("right_part")).otherwise(F.col("left_part"))).drop("left_part", "right_part")
 
 
+def epoch_pairs(pairs: DataFrame, epoch: int, n: int) -> Stored:
+    """All pairs of an epoch, made once and written by the rotation that owns them: each rotation reads its own only."""
+    here = owners(pairs.select(*PAIR), epoch, n, *PAIR[:2])
+    if n > 1:  # a rotation's rows into few files, but not into one task
+        tasks = max(1, pairs.sparkSession.sparkContext.defaultParallelism // n)
+        here = here.repartition("rotation", F.pmod(F.xxhash64(*PAIR[:2]), F.lit(tasks)))
+    return store(here, "pairs", by="rotation")
+
+
 def exchange(vectors: DataFrame, pairs: DataFrame, epoch: int, rotation: int, p: TrainParams) -> DataFrame:
-    """Vectors and owned pairs in one shuffle: partition k holds its vectors first, then its pairs in hashed order."""
-    n = p.num_partitions
+    """Vectors and a rotation's pairs in one shuffle: partition k holds its vectors first, then its pairs in hashed order."""
     none = lambda kind: F.lit(None).cast(kind)
-    held = dealt(vectors, epoch, rotation, n).select(F.lit(0).alias("tag"), "part", "type", "id", "cn", "f", none("bigint").alias("left"), none("bigint").alias("right"), none("float").alias("label"), none("float").alias("weight"))
-    mine = owned(pairs, epoch, rotation, n)
-    mine = mine.select(F.lit(1).alias("tag"), "part", none("boolean").alias("type"), none("bigint").alias("id"), none("bigint").alias("cn"), none("array<float>").alias("f"), "left", "right", "label", "weight")
-    order = F.xxhash64("type", "id", "left", "right", "label", "weight", F.lit(p.seed), F.lit(epoch), F.lit(rotation))
-    return held.unionByName(mine).repartitionById(n, "part").sortWithinPartitions("tag", order)
+    held = dealt(vectors, epoch, rotation, p.num_partitions).select(F.lit(0).alias("tag"), "part", "type", "id", "cn", "f", none("bigint").alias("left"), none("bigint").alias("right"), none("float").alias("label"), none("float").alias("weight"))
+    mine = pairs.select(F.lit(1).alias("tag"), "part", none("boolean").alias("type"), none("bigint").alias("id"), none("bigint").alias("cn"), none("array<float>").alias("f"), *PAIR)
+    order = F.xxhash64("type", "id", *PAIR, F.lit(p.seed), F.lit(epoch), F.lit(rotation))
+    return held.unionByName(mine).repartitionById(p.num_partitions, "part").sortWithinPartitions("tag", order)
 
 
 def train(start: DataFrame, pairs: Pairs, p: TrainParams, same_domain: bool) -> tuple[DataFrame, Metrics]:
     """Train ``start`` (``type, id, cn, f``) for all epochs and rotations, and return the stored vectors.
 
-    Each rotation is one shuffle and is written before the next begins, so lineage stays short and a lost executor
-    costs one rotation. With a checkpoint path the latest committed state there is taken up instead of ``start``.
+    The pairs of an epoch are made in one scan. Each rotation is one shuffle and is written before the next begins, so
+    lineage stays short and a lost executor costs one rotation. With a checkpoint path the latest committed state there is
+    taken up instead of ``start``. A loss or vector that is not finite is an ArithmeticError.
     """
     spark, n = start.sparkSession, p.num_partitions
     ship(spark)
     found = checkpoint.latest_committed(spark, p.checkpoint_path) if p.checkpoint_path else None
     epoch0, done = found or (0, 0)
-    now = checkpoint.read(spark, f"{p.checkpoint_path}/{epoch0}_{done}") if found else store(start, "vectors").df
     kept: Stored | None = None
+    if found:
+        now = checkpoint.read(spark, f"{p.checkpoint_path}/{epoch0}_{done}")
+    else:
+        kept = store(start, "vectors")
+        now = kept.df
     metrics = Metrics()
     for epoch in range(epoch0, p.num_iterations):
-        for rotation in range(done if epoch == epoch0 else 0, n):
+        first = done if epoch == epoch0 else 0
+        made = epoch_pairs(pairs(epoch), epoch, n) if first < n else None
+        for rotation in range(first, n):
 
             def kernel(batches: Iterator[pa.RecordBatch], seed: tuple[int, ...] = (p.seed & 0xFFFFFFFF, epoch, rotation)) -> Iterator[pa.RecordBatch]:
                 return train_partition(batches, p, seed, same_domain)
 
-            out = store(exchange(now, pairs(epoch, rotation), epoch, rotation, p).mapInArrow(kernel, OUT), "vectors")
-            told = out.df.where("type IS NULL").agg(F.sum("loss").alias("loss"), F.sum("penalty").alias("penalty"), F.sum("pairs").alias("pairs")).first()
-            metrics.rotations.append({"epoch": epoch, "rotation": rotation, **{k: told[k] or 0 for k in ("loss", "penalty", "pairs")}})
+            mine = made.df.where(F.col("rotation") == rotation)
+            out = store(exchange(now, mine, epoch, rotation, p).mapInArrow(kernel, OUT), "vectors")
+            told = out.df.where("type IS NULL").agg(F.sum("loss").alias("loss"), F.sum("penalty").alias("penalty"), F.sum("pairs").alias("pairs"), F.max("pairs").alias("largest")).first()
+            metrics.rotations.append({"epoch": epoch, "rotation": rotation, **{k: told[k] or 0 for k in ("loss", "penalty", "pairs", "largest")}})
+            if not math.isfinite(told["loss"] or 0):
+                raise ArithmeticError(f"training diverged in rotation {rotation} of epoch {epoch}: lower the learning rate, the weights or the batch size")
             if kept:
                 kept.drop()
             kept = out
             now = out.df.where("type IS NOT NULL").select("type", "id", "cn", "f")
             if p.checkpoint_interval and (epoch * n + rotation + 1) % p.checkpoint_interval == 0:
                 now = checkpoint.write(now, f"{p.checkpoint_path}/{epoch}_{rotation + 1}")
+                kept.drop()
+                kept = None
+        if made:
+            made.drop()
     return now, metrics

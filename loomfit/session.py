@@ -18,12 +18,15 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where the session names none (tests, local mode).
+    A temporary folder is set only in local mode, where the session names none. On a cluster that is an error: each executor
+    would write to a disk of its own.
     """
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="loomfit-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -46,14 +49,21 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def store(df: DataFrame, name: str) -> Stored:
-    """Write ``df`` as a parquet table in the shared folder and read it back."""
+def store(df: DataFrame, name: str, by: str | None = None) -> Stored:
+    """Write ``df`` as a parquet table in the shared folder, in a folder per value of ``by`` if given, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomfit/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every table :func:`store` has left in the shared folder, once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/loomfit")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its known number of rows is within the limit, else as it is.
 
@@ -62,10 +72,6 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that tasks can import it wherever they run."""
     sc = spark.sparkContext

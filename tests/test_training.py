@@ -119,6 +119,76 @@ def test_factorization(spark):
         m.fit(spark.createDataFrame([(1, 1, 0.5)], "user bigint, item bigint, rating float"))
 
 
+def test_a_hot_user_with_large_weights_stays_finite(spark):
+    """A third of the ratings by one user, weights to 45, default batch."""
+    rng = np.random.default_rng(5)
+    rows = [(0 if k % 3 == 0 else int(rng.integers(1, 200)), int(rng.zipf(2)) % 300, float(rng.integers(1, 46))) for k in range(9_000)]
+    df = spark.createDataFrame(rows, "user bigint, item bigint, rating float")
+    m = LogisticMF().setVectorSize(16).setLearningRate(0.025).setNumPartitions(2).setUseBias(True).setNumIterations(3).setSeed(1)
+    f = np.array([r["f"] for r in m.fit(df).collect()])
+    assert np.isfinite(f).all() and np.abs(f).max() < 50
+    r = m.metrics.rotations
+    assert sum(x["loss"] for x in r[-2:]) < sum(x["loss"] for x in r[:2]) and all(0 < x["largest"] <= x["pairs"] for x in r)
+
+
+def test_a_hot_id_is_not_stepped_over_its_goal():
+    m, at = np.zeros((3, 1)), np.array([0] * 100 + [1] * 2 + [2])
+    scatter_add(m, at, np.ones((103, 1)), np.array([0.1] * 102 + [50.0]))
+    assert m.ravel() == pytest.approx([20, 2, 1])  # 10 is too much for the first; the last is alone
+
+
+def test_divergence_is_an_error(spark):
+    df = spark.createDataFrame([(u, i, 1.0) for u in range(5) for i in range(5)], "user bigint, item bigint, rating float")
+    with pytest.raises(ArithmeticError):
+        LogisticMF().setVectorSize(4).setImplicitPref(False).setLearningRate(1e30).setLambdaL(1e30).setNumIterations(4).fit(df)
+
+
+@pytest.mark.parametrize("power", [0.0, 0.75])
+def test_negatives_are_never_the_left_id_and_follow_their_distribution(power):
+    p = TrainParams(vector_size=1, pow=power)
+    x = Local(p, (3,), True)
+    cn = np.array([1, 2, 3, 10])
+    x.load(np.full(4, True), np.arange(4), cn, np.zeros((4, 1), np.float32))
+    x.start()
+    for own in range(-1, 4):
+        got, ok = x.negatives(np.full(40_000, own))
+        share = np.bincount(got, minlength=4) / 40_000
+        want = cn**power * (np.arange(4) != own)
+        assert ok.all() and np.abs(share - want / want.sum()).max() < 0.02
+    one = Local(p, (3,), True)
+    one.load(np.array([True]), np.array([5]), np.array([1]), np.zeros((1, 1), np.float32))
+    one.start()
+    assert one.negatives(np.array([0, -1]))[1].tolist() == [False, True]
+
+
+def test_null_weights_and_labels(spark):
+    from loomfit.plans.trainer import train
+
+    start = spark.createDataFrame([(t, k, 1, [0.5]) for t in (False, True) for k in range(2)], "type boolean, id bigint, cn bigint, f array<float>")
+    made = spark.createDataFrame([(0, 0, None, 3.0), (1, 1, None, None)], "left bigint, right bigint, label float, weight float")
+    _, m = train(start, lambda e: made, TrainParams(vector_size=1, negative=1, gamma=0.0, learning_rate=1e-9), same_domain=False)
+    assert m.rotations[0]["loss"] == pytest.approx(4 * math.log1p(math.exp(-0.25)), abs=1e-5)
+    _, m = train(start, lambda e: made, TrainParams(vector_size=1, implicit=False), same_domain=False)
+    assert m.rotations[0]["pairs"] == 0
+
+
+def test_setters_of_checkpoints_come_in_any_order(spark, tmp_path):
+    df = corpus(spark, 20)
+    model().setCheckpointInterval(3).setCheckpointPath(str(tmp_path)).setNumThread(2).setIntermediateRDDStorageLevel("DISK_ONLY").fit(df)
+    assert checkpoint.latest_committed(spark, str(tmp_path)) == (0, 3)
+    with pytest.raises(ValueError):
+        model().setCheckpointPath(str(tmp_path)).fit(df)
+    with pytest.raises(ValueError):
+        model().setIntermediateRDDStorageLevel("NONE")
+
+
+def test_pairs_of_an_epoch_are_made_once(spark, monkeypatch):
+    calls, made = [], SkipGram.pairs
+    monkeypatch.setattr(SkipGram, "pairs", lambda self, seqs, epoch: calls.append(epoch) or made(self, seqs, epoch))
+    model().setNumPartitions(5).setNumIterations(2).fit(corpus(spark, 20))
+    assert calls == [0, 1]
+
+
 def test_implicit_query_trains_on_negative_and_absurd_ratings_too(spark, tmp_path):
     from loomfit.plans import queries
 
