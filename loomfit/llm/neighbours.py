@@ -1,17 +1,18 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-Each tree hashes a vector to a short prefix and a string of further sign bits. Inside a prefix every vector is compared with
-all vectors whose further bits differ in at most ``FLIPS`` places, whatever their number: nothing is cut at a block, and a
-prefix with more than ``BLOCK`` rows is dealt over tasks as pairs of blocks. A pair's chance to be met hence depends on its
-similarity alone, and the number of trees follows from that chance. Prefix lengths are those of the size of the table; there
-is no ascent over them, see the README.
+A few trees deal the vectors over tasks by a short prefix of their sign bits. Inside such a unit there is a forest of sorted
+arrays of longer bit strings: every vector descends in all of them to the longest prefix that others share, and ascends in all
+at once, level by level, to the wider ranges of shorter prefixes. It stops at the level where a vector more similar than
+the last of its best ones would have been met in one of the arrays but for a small chance; that level follows from their
+similarity, so dense places end early and sparse ones go on. Where the ranges cover much of the unit, the ascent goes to the
+root: all of the unit is compared. No range is cut, and a unit with more than ``BLOCK`` rows is dealt over tasks as pairs of
+blocks, so a pair's chance to be met depends on its similarity alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import acos, ceil, comb, log, log1p, log2, pi
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfit.llm.clusters import by_group
-from loomfit.llm.vectors import DIM, SCALE, SIMILAR, from_binary, resolved, shared_vectors
+from loomfit.llm.vectors import DIM, SCALE, SIMILAR, exact_similarities, from_binary, resolved, shared_vectors
 from loomfit.session import small, store
 
-#: Further sign bits inside a prefix, and in how many of them compared vectors may differ.
-INNER, FLIPS = 10, 2
+#: Sorted arrays inside a unit and bits of their strings; share of the pairs of a unit that none of its arrays may meet.
+ARRAYS, LONGEST, UNSEEN = 24, 20, 0.02
+#: Levels of the ascent: bits of the prefix. The last one follows from the least similarity.
+LEVELS = (20, 16)
+#: Bits by which a pair is looked at before its similarity is computed, and the standard deviations that this is off at most.
+SKETCH, SIGMAS = 256, 5.0
+#: Of a product of all rows this part costs as much as looking at a pair in an array. So few rows are compared at once.
+DIRECT, WHOLE = 4, 4_096
 #: Rows that a prefix has on average at most, bits of a prefix at least.
 UNIT, LEAST_BITS = 65_536, 2
 #: Most rows of a prefix that are compared in one piece; more are dealt as pairs of blocks.
@@ -33,30 +40,42 @@ MISS = 0.002
 #: Rows and columns of a piece of the similarity matrix.
 TILE, STRIP = 256, 16_384
 TOP = 5
+#: Similarities of 16-bit vectors nearer than this to each other or to the least are taken from the vectors as delivered.
+DOUBT = 4e-5
 SEED = 11
 
 
+def same_bit(similarity: float) -> float:
+    """The chance that two vectors of this similarity are on the same side of a random plane."""
+    return 1 - acos(min(1.0, max(-1.0, similarity))) / pi
+
+
 def shape(rows: int, least: float) -> tuple[int, int]:
     """Bits of a prefix for a side of so many rows, and the trees that keep the misses at ``least`` under ``MISS``."""
-    bits = max(LEAST_BITS, ceil(log2(max(1, rows) / UNIT)))
-    same = 1 - acos(min(1.0, max(-1.0, least))) / pi
-    met = same**bits * sum(comb(INNER, k) * same ** (INNER - k) * (1 - same) ** k for k in range(FLIPS + 1))
+    if rows <= WHOLE:
+        return 0, 1
+    bits = max(LEAST_BITS, ceil(log2(rows / UNIT)))
+    met = same_bit(least) ** bits * (1 - UNSEEN)
     return bits, 1 if met >= 1 else max(1, ceil(log(MISS) / log1p(-met)))
 
 
-def hashes(b: pa.RecordBatch, plane: np.ndarray, bits: int, trees: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per tree the unit (side, tree and prefix in one number) and the further bits of ``type, id, q``."""
+def level(least: float) -> int:
+    """The longest prefix at which at most ``UNSEEN`` of the pairs of this similarity are met in none of the arrays."""
+    c = same_bit(least)
+    return LONGEST if c >= 1 else max(0, min(LONGEST, int(log(1 - UNSEEN ** (1 / ARRAYS)) / log(c))))
+
+
+def hashes(b: pa.RecordBatch, plane: np.ndarray, bits: int, trees: int) -> Iterator[np.ndarray]:
+    """Per tree the unit (side, tree and prefix in one number) of ``type, id, q``."""
     side = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     up = from_binary(b.column(2), np.int16, DIM).astype(np.float32) @ plane > 0
-    width = bits + INNER
-    weight = np.int64(1) << np.arange(width - 1, -1, -1, dtype=np.int64)
+    weight = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
     for t in range(trees):
-        code = up[:, t * width : (t + 1) * width].astype(np.int64) @ weight
-        yield (side * trees + t) << bits | code >> INNER, code & (1 << INNER) - 1
+        yield (side * trees + t) << bits | up[:, t * bits : (t + 1) * bits].astype(np.int64) @ weight
 
 
 def planes(bits: int, trees: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((DIM, trees * (bits + INNER))).astype(np.float32)
+    return np.random.default_rng(SEED).standard_normal((DIM, trees * bits)).astype(np.float32)
 
 
 def large_units(rows: DataFrame, bits: int, trees: int) -> dict[int, int]:
@@ -67,7 +86,7 @@ def large_units(rows: DataFrame, bits: int, trees: int) -> dict[int, int]:
         plane = planes(bits, trees)
         for b in batches:
             if b.num_rows:
-                unit, n = np.unique(np.concatenate([u for u, _ in hashes(b, plane, bits, trees)]), return_counts=True)
+                unit, n = np.unique(np.concatenate(list(hashes(b, plane, bits, trees))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(n)], ["unit", "n"])
 
     sizes = rows.mapInArrow(run, "unit bigint, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -75,7 +94,7 @@ def large_units(rows: DataFrame, bits: int, trees: int) -> dict[int, int]:
 
 
 def forest(rows: DataFrame, bits: int, trees: int, large: dict[int, int]) -> DataFrame:
-    """``unit, i, j, code, mine, id, q``: every vector once per tree, in a large unit once per pair of blocks with its own.
+    """``unit, i, j, mine, id, q``: every vector once per tree, in a large unit once per pair of blocks with its own.
 
     The block of a vector follows from its values, so copies stay together.
     """
@@ -85,14 +104,14 @@ def forest(rows: DataFrame, bits: int, trees: int, large: dict[int, int]) -> Dat
         odd = np.random.default_rng(SEED).integers(1 << 62, size=DIM * 2 // 8, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         many = np.array(sorted(large), np.int64)
         parts = np.array([large[u] for u in many.tolist()], np.int64)
-        names = ["unit", "i", "j", "code", "mine", "id", "q"]
+        names = ["unit", "i", "j", "mine", "id", "q"]
         for b in batches:
             if not b.num_rows:
                 continue
             with np.errstate(over="ignore"):
                 h = (from_binary(b.column(2), np.uint64, DIM * 2 // 8) * odd).sum(1, dtype=np.uint64)
                 h = (h ^ h >> np.uint64(32)) * odd[0] >> np.uint64(33)
-            for unit, code in hashes(b, plane, bits, trees):
+            for unit in hashes(b, plane, bits, trees):
                 n = np.ones(len(unit), np.int64)
                 if len(many):
                     k = np.minimum(np.searchsorted(many, unit), len(many) - 1)
@@ -103,10 +122,10 @@ def forest(rows: DataFrame, bits: int, trees: int, large: dict[int, int]) -> Dat
                 for lo in range(0, len(row), 8_192):
                     r, o = row[lo : lo + 8_192], other[lo : lo + 8_192]
                     take = pa.array(r)
-                    cols = [unit[r], np.minimum(mine[r], o), np.maximum(mine[r], o), code[r], mine[r]]
+                    cols = [unit[r], np.minimum(mine[r], o), np.maximum(mine[r], o), mine[r]]
                     yield pa.RecordBatch.from_arrays([*map(pa.array, cols), b.column(1).take(take), b.column(2).take(take)], names)
 
-    return rows.mapInArrow(run, "unit bigint, i bigint, j bigint, code bigint, mine bigint, id bigint, q binary")
+    return rows.mapInArrow(run, "unit bigint, i bigint, j bigint, mine bigint, id bigint, q binary")
 
 
 def strongest(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,44 +161,119 @@ def strongest(x: np.ndarray, rows: np.ndarray, cols: np.ndarray, least: float, t
     return tuple(np.concatenate(v) for v in zip(*found))
 
 
+def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit strings of rows in every array (arrays x rows), and the words of their sketches (words x rows)."""
+    plane = np.random.default_rng(SEED + 1).standard_normal((DIM, ARRAYS * LONGEST)).astype(np.float32)
+    up = np.empty((len(x), ARRAYS * LONGEST), bool)
+    for lo in range(0, len(x), STRIP):
+        np.greater(x[lo : lo + STRIP] @ plane, 0, out=up[lo : lo + STRIP])
+    weight = np.int32(1) << np.arange(LONGEST - 1, -1, -1, dtype=np.int32)
+    strings = np.stack([up[:, t * LONGEST : (t + 1) * LONGEST] @ weight for t in range(ARRAYS)])
+    return strings, np.ascontiguousarray(np.packbits(up[:, :SKETCH], axis=1).view(np.uint64).T)
+
+
+def best_places(row: np.ndarray, s: np.ndarray, n: int, top: int) -> np.ndarray:
+    """The ``top``-th largest ``s`` of every row, 0 for rows with fewer."""
+    order = np.lexsort((-s, row))
+    r, out = row[order], np.zeros(n, np.float32)
+    k = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == top - 1)
+    out[r[k]] = s[order][k]
+    return out
+
+
+def climb(x: np.ndarray, mine: np.ndarray | None, least: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs ``a < b`` of rows with their similarity, of at least ``least``: for every row the ``top`` best and maybe more.
+
+    With ``mine`` (the block of every row) only pairs of different blocks count.
+    """
+    n, last = len(x), level(least)
+    if n <= WHOLE:
+        return once(n, *whole(x, mine, np.arange(n), least, top))
+    strings, words = codes(x)
+    order = np.argsort(strings, axis=1, kind="stable")
+    strings = np.take_along_axis(strings, order, axis=1)
+    part = 1 - same_bit(least)
+    far = SKETCH * part + SIGMAS * (SKETCH * part * (1 - part)) ** 0.5
+    active, key, sim = np.ones(n, bool), np.empty(0, np.int64), np.empty(0, np.float32)
+    before = LONGEST + 1
+    for p in [v for v in LEVELS if v > last] + [last]:
+        ends = [np.searchsorted(q, (q >> LONGEST - p) + 1 << LONGEST - p) for q in strings]
+        starts = [np.searchsorted(q, q >> LONGEST - p << LONGEST - p) for q in strings]
+        size = sum(int((e - b)[active[o]].sum()) for b, e, o in zip(starts, ends, order))
+        if size * DIRECT > int(active.sum()) * n:
+            a, b, s = whole(x, mine, np.flatnonzero(active), least, top)
+            key, sim = np.r_[key, np.minimum(a, b) * n + np.maximum(a, b)], np.r_[sim, s]
+            break
+        found = []
+        for q, o, end in zip(strings, order, ends):
+            w, on, m = words[:, o], active[o], None if mine is None else mine[o]
+            k, lag = np.arange(n), 1
+            while len(k := k[k + lag < end[k]]):
+                ok = on[k] | on[k + lag]
+                if before <= LONGEST:  # not again what an earlier level has seen
+                    ok &= q[k] >> LONGEST - before != q[k + lag] >> LONGEST - before
+                if m is not None:
+                    ok &= m[k] != m[k + lag]
+                c = k[ok]
+                c = c[sum(np.bitwise_count(v[c] ^ v[c + lag]).astype(np.uint16) for v in w) <= far]
+                a, b = o[c], o[c + lag]
+                found.append(np.minimum(a, b) * n + np.maximum(a, b))
+                lag += 1
+        new = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        s = np.empty(len(new), np.float32)
+        for lo in range(0, len(new), 65_536):
+            a, b = new[lo : lo + 65_536] // n, new[lo : lo + 65_536] % n
+            s[lo : lo + 65_536] = np.einsum("ij,ij->i", x[a], x[b])
+        key, sim = np.r_[key, new[s >= least]], np.r_[sim, s[s >= least]]
+        if p > last:
+            worst = best_places(np.r_[key // n, key % n], np.r_[sim, sim], n, top)
+            sure = cos_of(p)
+            active &= worst < sure
+            if not active.any():
+                break
+        before = p
+    return once(n, key // n, key % n, sim)
+
+
+def once(n: int, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in either order as ``a < b``, each once."""
+    key, first = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
+    return key // max(n, 1), key % max(n, 1), s[first]
+
+
+def whole(x: np.ndarray, mine: np.ndarray | None, rows: np.ndarray, least: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The root of the forest: the ``top`` best of all others for ``rows``, with ``mine`` of those of other blocks."""
+    every = np.arange(len(x))
+    sides = [(rows, every, top + 1)] if mine is None else [(rows[mine[rows] == m], every[mine != m], top) for m in np.unique(mine)]
+    got = [strongest(x, a, b, least, k) for a, b, k in sides if len(a) and len(b)]
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+    a, b, s = (np.concatenate(v) for v in zip(none, *got))
+    return a[a != b], b[a != b], s[a != b]
+
+
+def cos_of(p: int) -> float:
+    """The similarity from which at most ``UNSEEN`` of the pairs are met in none of the arrays at prefixes of ``p`` bits."""
+    return float(np.cos(pi * (1 - (1 - UNSEEN ** (1 / ARRAYS)) ** (1 / p))))
+
+
 def near(sorted_rows: DataFrame, least: float, top: int, right: int) -> DataFrame:
     """``type, id_a, id_b, similarity`` of each vector's ``top`` most similar others in its unit, from rows of
-    :func:`forest` sorted by ``unit, i, j, code, q, id``. Rows with equal vectors are one, under the smallest id. Units from
+    :func:`forest` sorted by ``unit, i, j, q, id``. Rows with equal vectors are one, under the smallest id. Units from
     ``right`` on are of the right side.
     """
 
-    def group(i: int, j: int, code: np.ndarray, mine: np.ndarray, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
-        first = np.r_[True, (code[1:] != code[:-1]) | (q[1:] != q[:-1]).any(1)]
-        code, mine, ids, x = code[first], mine[first], ids[first], q[first].astype(np.float32) / SCALE
+    def group(i: int, j: int, mine: np.ndarray, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        first = np.r_[True, (q[1:] != q[:-1]).any(1)]
+        mine, ids, x = mine[first], ids[first], q[first].astype(np.float32) / SCALE
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        start = np.searchsorted(code, np.arange((1 << INNER) + 1))
-        size = np.diff(start)
-        flips = np.array([sum(1 << k for k in ks) for n in range(FLIPS + 1) for ks in combinations(range(INNER), n)])
-        found = []
-        for c in np.flatnonzero(size):
-            rows, to = np.arange(start[c], start[c + 1]), c ^ flips
-            n = size[to]
-            cols = np.repeat(start[to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            if i == j:
-                found.append(strongest(x, rows, cols, least, top + 1))  # itself among them
-            else:
-                for a in (i, j):
-                    if len(own := rows[mine[rows] == a]) and len(rest := cols[mine[cols] != a]):
-                        found.append(strongest(x, own, rest, least, top))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-        a, b, s = (np.concatenate(v) for v in zip(*found))
-        a, b, s = (v[a != b] for v in (ids[a], ids[b], s))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        once = np.lexsort((b, a))
-        a, b, s = a[once], b[once], s[once]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
-        return a[new], b[new], s[new]
+        a, b, s = climb(x, None if i == j else mine, least, top)
+        a, b = ids[a], ids[b]
+        return np.minimum(a, b), np.maximum(a, b), s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in by_group(batches, 3):
-            for unit, i, j, code, mine, ids, q in groups:
-                a, b, s = group(int(i[0]), int(j[0]), code, mine, ids, q)
+            for unit, i, j, mine, ids, q in groups:
+                a, b, s = group(int(i[0]), int(j[0]), mine, ids, q)
                 if len(a):
                     side = np.full(len(a), int(unit[0]) >= right)
                     yield pa.RecordBatch.from_arrays([pa.array(side), pa.array(a), pa.array(b), pa.array(s)], ["type", "id_a", "id_b", "similarity"])
@@ -197,9 +291,9 @@ def most_similar(item_data: DataFrame, least: float = SIMILAR, top: int = TOP) -
     sides = [r["count"] for r in seen.groupBy("type").count().collect()]
     bits, trees = shape(max(sides, default=0), least)
     dealt = forest(rows, bits, trees, large_units(rows, bits, trees)).repartition("unit", "i", "j")
-    arrays = dealt.sortWithinPartitions("unit", "i", "j", "code", "q", "id")
-    pairs = near(arrays, least, top + 1, trees << bits)
-    pairs = store(pairs.groupBy("type", "id_a", "id_b").agg(F.max("similarity").alias("similarity")), "near").df
+    arrays = dealt.sortWithinPartitions("unit", "i", "j", "q", "id")
+    pairs = near(arrays, least - DOUBT, top + 1, trees << bits)
+    pairs = store(pairs.groupBy("type", "id_a", "id_b").agg(F.max("similarity").cast("double").alias("similarity")), "near").df
     group = store(shared_vectors(seen, top + 1), "shared").df
     n = group.count()
     members = small(group, n)
@@ -211,6 +305,13 @@ def most_similar(item_data: DataFrame, least: float = SIMILAR, top: int = TOP) -
             both = both.join(to, ["type", c], "left").withColumn(c, F.coalesce(f"{c}_rep", c)).drop(f"{c}_rep")
         both = both.where("v <> u").groupBy("type", "v", "u").agg(F.max("similarity").alias("similarity"))
     rank = lambda v, u: F.row_number().over(Window.partitionBy("type", v).orderBy(F.col("similarity").desc(), u))
+    by = Window.partitionBy("type", "v").orderBy(F.col("similarity").desc(), "u")
+    ranked = both.withColumn("r", rank("v", "u")).where(F.col("r") <= top + 1)
+    beside = [F.abs(F.col("similarity") - f("similarity").over(by)) < DOUBT for f in (F.lag, F.lead)]
+    doubt = (F.abs(F.col("similarity") - least) < DOUBT) | F.coalesce(beside[0], F.lit(False)) | F.coalesce(beside[1], F.lit(False))
+    ranked = store(ranked.withColumn("doubt", doubt), "ranked").df
+    true = exact_similarities(item_data, seen, ranked.where("doubt").select("type", "v", "u"))
+    both = ranked.join(true, ["type", "v", "u"], "left").select("type", "v", "u", F.coalesce("exact", "similarity").alias("similarity")).where(F.col("similarity") >= least)
     cut = both.withColumn("r", rank("v", "u")).where(F.col("r") <= top).drop("r")
     if n:
         other = members.where("place IS NOT NULL").select("type", F.col("rep").alias("u"), F.col("id").alias("u_id"))
@@ -218,6 +319,6 @@ def most_similar(item_data: DataFrame, least: float = SIMILAR, top: int = TOP) -
         every = members.select("type", F.col("rep").alias("v"), F.col("id").alias("v_id"), F.col("n").alias("size"))
         cut = cut.join(every, ["type", "v"], "left").where(F.coalesce("size", F.lit(0)) <= top).select("type", F.coalesce("v_id", "v").alias("v"), "u", "similarity")
         twins = group.select("type", F.col("id").alias("v"), "rep").join(group.where("place IS NOT NULL").select("type", "rep", F.col("id").alias("u")), ["type", "rep"])
-        cut = cut.unionByName(twins.where("v <> u").select("type", "v", "u", F.lit(1.0).cast("float").alias("similarity")))
+        cut = cut.unionByName(twins.where("v <> u").select("type", "v", "u", F.lit(1.0).alias("similarity")))
     out = cut.withColumn("place", rank("v", "u")).where(F.col("place") <= top)
     return out.select("type", F.col("v").alias("id"), F.col("u").alias("other"), "similarity", "place")

@@ -176,7 +176,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
 }
 
+USABLE = """u AS (SELECT DISTINCT type, id, f[1:48]::DOUBLE[48] AS f FROM item_data WHERE type IS NOT NULL AND id IS NOT NULL AND len(f) = 49
+ AND list_bool_and(list_transform(f, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(f[1:48], lambda x: x <> 0)))"""
+
+P3 = f"""WITH {USABLE}, r AS (SELECT id, f FROM u WHERE type), e AS (SELECT a.id AS a, b.id AS b FROM r a, r b WHERE a.id = b.id OR array_cosine_similarity(a.f, b.f) >= 0.9),
+ n AS (SELECT a, list(b ORDER BY b) AS near FROM e GROUP BY a), c AS (SELECT near FROM n GROUP BY near HAVING count(*) = len(near) AND len(near) >= 3),
+ m AS (SELECT near, unnest(near) AS id FROM c)
+SELECT x.id AS id_a, y.id AS id_b FROM m x JOIN m y ON x.near = y.near AND x.id < y.id"""
+
+P6 = f"""WITH {USABLE}, e AS (SELECT a.type, a.id, b.id AS other, array_cosine_similarity(a.f, b.f) AS s FROM u a JOIN u b ON a.type = b.type AND a.id <> b.id AND array_cosine_similarity(a.f, b.f) >= 0.9),
+ k AS (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY round(s, 12) DESC, other) AS r FROM e)
+SELECT DISTINCT CASE WHEN type THEN 'right' ELSE 'left' END AS side, least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE r <= 5"""
+
 SQL: dict[str, str] = {
+    "p3_found": P3,
+    "p6_found": P6,
     "p1_found": P1.format(more=""),
     "p1_top": P1.format(more=", n, CAST(total AS BIGINT) AS total"),
     "p2_found": P2.format(more=""),

@@ -83,6 +83,31 @@ def resolved(item_data: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, seen.select("type", "id", "h")
 
 
+def exact_similarities(item_data: DataFrame, seen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``type, v, u, exact``: the similarity of few pairs ``type, v, u`` from the vectors as delivered, in double precision.
+
+    ``seen`` is the second result of :func:`resolved`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, x = unit_rows(b.column(2))
+            take = pa.array(rows)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * DIM), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), binary(np.rint(x * SCALE).astype(np.int16)), values], ["type", "id", "q", "x"])
+
+    ids = pairs.select("type", F.explode(F.array("v", "u")).alias("id")).distinct()
+    n = ids.count()
+    known = item_data.where("type IS NOT NULL AND id IS NOT NULL").select("type", "id", "f").join(small(ids, n), ["type", "id"], "left_semi")
+    rows = known.mapInArrow(run, "type boolean, id bigint, q binary, x array<double>").withColumn("h", F.xxhash64("q"))
+    kept = seen.join(small(ids, n), ["type", "id"], "left_semi")
+    rows = rows.join(small(kept, n), ["type", "id", "h"], "left_semi").groupBy("type", "id").agg(F.max("x").alias("x"))
+    rows = store(rows, "exact").df
+    for c in ("v", "u"):
+        pairs = pairs.join(small(rows.select("type", F.col("id").alias(c), F.col("x").alias(f"{c}_x")), n // 8), ["type", c])
+    return pairs.select("type", "v", "u", F.aggregate(F.zip_with("v_x", "u_x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("exact"))
+
+
 def shared_vectors(seen: DataFrame, most: int) -> DataFrame:
     """``type, id, rep, place, n`` of the ids whose vector others have too.
 

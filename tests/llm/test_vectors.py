@@ -83,8 +83,37 @@ def test_neighbours_in_a_dense_group_are_found_whatever_the_blocks(spark, monkey
 
 
 def test_trees_keep_the_misses_at_the_threshold_at_every_size():
+    for rows in (10_000, 100_000, 100_000_000):
+        bits, trees = neighbours.shape(rows, 0.9)
+        assert (1 - neighbours.same_bit(0.9) ** bits * (1 - neighbours.UNSEEN)) ** trees <= neighbours.MISS
     small, large = neighbours.shape(100_000, 0.9), neighbours.shape(100_000_000, 0.9)
-    assert small[1] >= 7 and large[0] > small[0] and large[1] > small[1]
+    assert large[0] > small[0] and large[1] > small[1]
+    p = neighbours.level(0.9)
+    assert 1 - (1 - neighbours.same_bit(0.9) ** p) ** neighbours.ARRAYS >= 1 - neighbours.UNSEEN
+    assert abs(neighbours.same_bit(neighbours.cos_of(16)) ** 16 - neighbours.same_bit(neighbours.cos_of(20)) ** 20) < 1e-9
+
+
+def recall(x, got, asked, least=0.9, top=5):
+    s = x[:asked] @ x.T
+    s[np.arange(asked), np.arange(asked)] = -1
+    want = {(min(k, int(o)), max(k, int(o))) for k, row in enumerate(s) for o in np.argsort(-row)[:top] if row[o] >= least}
+    return len(want & got) / len(want)
+
+
+def test_climbing_meets_the_best_in_dense_and_sparse_places():
+    rng = np.random.default_rng(6)
+    cone = rng.standard_normal((1, 48)) + rng.standard_normal((20_000, 48)) * 0.33  # all about 0.9
+    groups = np.repeat(rng.standard_normal((2_000, 48)), 7, 0) + rng.standard_normal((14_000, 48)) * 0.3
+    tight = rng.standard_normal((1, 48)) + rng.standard_normal((500, 48)) * 0.02
+    for x in (cone, groups, np.concatenate([tight, groups])):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        a, b, s = neighbours.climb(x, None, 0.9, 6)
+        assert (a < b).all() and (s >= 0.9).all() and len(set(zip(a, b))) == len(a)
+        assert recall(x, set(zip(a.tolist(), b.tolist())), 600) > 0.97
+    half = np.arange(len(x)) % 2
+    a, b, _ = neighbours.climb(x, half, 0.9, 6)
+    assert len(a) and (half[a] != half[b]).all()
+    assert len(neighbours.climb(x[:1], None, 0.9, 6)[0]) == len(neighbours.climb(x[:0], None, 0.9, 6)[0]) == 0
 
 
 def test_every_row_of_a_bucket_is_compared(spark, monkeypatch):
