@@ -1,8 +1,9 @@
 """Exact quantiles per key when a few keys hold most rows.
 
-No task ever gathers a key's values. Tasks count values in bins per key and merge the counts; the bin that holds a
-rank is split into finer bins, until the bin's smallest and largest value agree. Counts are added up before every
-shuffle, so a hot key costs as many rows as it has bins.
+No task ever gathers a key's values. Equal values of a key are counted once, before the shuffle; values become whole numbers
+of the same order, and histograms over their first bits are merged counts of these. The bin that holds a rank is looked at by
+more bits, until its smallest and largest value agree. What is joined are counts, never values: a hot key costs as many rows
+as it has bins.
 """
 
 from __future__ import annotations
@@ -15,12 +16,21 @@ from pyspark.sql import functions as F
 
 from loomfit.session import BROADCAST_ROWS, store
 
-#: First bins per key on either side of zero; values beyond fall into the outermost two.
-FIRST_BINS = 2_048
-#: Parts into which a bin is split.
-SPLIT = 1_024
-#: Copies of an interval when too many of them are left to be sent to all tasks.
-SALTS = 16
+#: Bits left out of the ordered numbers' 64 in every round. The first bins are 1/256 of a power of two wide.
+SHIFTS = (44, 32, 20, 8, 0)
+
+
+def ordered(v: Column) -> Column:
+    """A BIGINT in the order of a finite DOUBLE: its exponent above its 52 bits of fraction, negative for negative values."""
+    x = F.abs(v)
+    least = F.lit(2.0**-1022)
+    guess = F.floor(F.log2(F.greatest(x, least)))
+    power = F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    e = guess + F.when(x / 2 >= power, 1).when((x < power) & (x >= least), -1).otherwise(0)
+    share = F.when(x < least, x / least).otherwise(x / F.pow(F.lit(2.0), e) - 1)
+    number = F.when(x < least, F.lit(0).cast("bigint")).otherwise(e + 1023) * F.lit(1 << 52) + F.floor(share * F.lit(float(1 << 52)))
+    return F.when(v < 0, -number).otherwise(number)
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -37,53 +47,46 @@ def _locate(hist: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame
     return hit.where(inside).select(*[F.col(f"t.{k}").alias(k) for k in targets.columns if k != "r"], (F.col("t.r") - F.col("h.top") + F.col("h.c")).alias("r"), *[F.col(f"h.{k}").alias(f"{k}_new") for k in ("lo", "hi")])
 
 
-def keyed_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], step: Column | float = 1.0) -> DataFrame:
+def keyed_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Row count and exact quantiles of ``value`` for every key.
 
     Columns: the keys, ``n`` (all rows), ``n_values`` (rows with a finite value) and ``q<percent>`` per probability: the
     value of rank ``ceil(p * n_values)``, as double, null for a key without values. Null keys form a group like any
-    other; null, NaN and infinite values count in ``n`` only. ``step`` is the first bins' width and only affects speed.
-    An empty input gives no rows.
+    other; null, NaN and infinite values count in ``n`` only. An empty input gives no rows.
     """
     if not probs or not all(0 < p <= 1 for p in probs):
         raise ValueError("probabilities must be in (0, 1]")
     keys = list(keys)
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    base = rows.select(*keys, F.when(finite, v + F.lit(0.0)).alias("v_"), (F.lit(step) if isinstance(step, float) else step).alias("step_"))
-    first = F.floor(F.col("v_") / F.col("step_"))
-    first = F.when(F.col("v_").isNotNull(), F.least(F.greatest(first, F.lit(-FIRST_BINS)), F.lit(FIRST_BINS)).cast("int"))
-    hist = base.groupBy(*keys, first.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
-    hist = store(hist, "histogram").df
-    totals = hist.groupBy(*keys).agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("c"))), F.lit(0)).cast("bigint").alias("n_values"))
+    base = rows.select(*keys, F.when(finite, v + F.lit(0.0)).alias("v_")).groupBy(*keys, "v_").agg(F.count(F.lit(1)).alias("c_"))
+    base = store(base.withColumn("u_", ordered(F.col("v_"))), "counted").df
+    known = base.where("v_ IS NOT NULL")
+
+    def histogram(counts: DataFrame, shift: int, *more: Column) -> DataFrame:
+        merged = counts.groupBy(*keys, *more, F.shiftright("u_", shift).alias("bin"))
+        return merged.agg(F.sum("c_").alias("c"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
+
+    totals = base.groupBy(*keys).agg(F.sum("c_").alias("n"), F.coalesce(F.sum(F.when(F.col("v_").isNotNull(), F.col("c_"))), F.lit(0)).cast("bigint").alias("n_values"))
+    totals = store(totals, "totals").df
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
     rank = F.greatest(F.ceil(F.col("p") * F.col("n_values") - F.lit(1e-9)), F.lit(1)).alias("r")
     targets = totals.where("n_values > 0").select(*keys, "n_values", ps).select(*keys, "p", rank)
     found = []
-    at = store(_locate(hist.where("bin IS NOT NULL"), targets, keys), "ranks").df
-    while True:
+    at = store(_locate(histogram(known, SHIFTS[0]), targets, keys), "ranks").df
+    for before, shift in zip(SHIFTS, SHIFTS[1:]):
         found.append(at.where("lo_new = hi_new").select(*keys, "p", F.col("lo_new").alias("q")))
-        open_ = at.where("lo_new < hi_new").select(*keys, "p", "r", F.col("lo_new").alias("lo"), F.col("hi_new").alias("hi"))
-        parts = open_.select(*keys, "lo", "hi").distinct()
+        open_ = at.where("lo_new < hi_new").select(*keys, "p", "r", F.shiftright(ordered(F.col("lo_new")), before).alias("of_"))
+        parts = open_.select(*keys, "of_").distinct()
         n = parts.count()
         if not n:
             break
-        by = [*keys, "lo", "hi"]
-        known = base.where("v_ IS NOT NULL")
-        if n <= BROADCAST_ROWS:
-            parts = F.broadcast(parts)
-            on = _same(known, parts, keys)
-        else:
-            known = known.withColumn("salt_", F.monotonically_increasing_id() % SALTS)
-            parts = parts.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-            on = _same(known, parts, keys) & (known["salt_"] == parts["salt_"])
-        inside = known.join(parts, on & known["v_"].between(parts["lo"], parts["hi"])).select(*[parts[k].alias(k) for k in keys], "lo", "hi", "v_")
-        # halves, for the difference of two large values may overflow
-        part = F.floor((F.col("v_") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * SPLIT)
-        finer = inside.groupBy(*by, F.least(part, F.lit(SPLIT - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v_").alias("new_lo"), F.max("v_").alias("new_hi"))
-        finer = finer.select(*keys, F.struct("lo", "hi").alias("range_"), "bin", "c", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"))
-        asked = open_.select(*keys, F.struct("lo", "hi").alias("range_"), "p", "r")
-        at = store(_locate(finer, asked, [*keys, "range_"]), "ranks").df
+        inside = known.withColumn("of_", F.shiftright("u_", before))
+        if n <= BROADCAST_ROWS:  # spares counting what no rank needs
+            inside = inside.join(F.broadcast(parts), _same(inside, parts, [*keys, "of_"]), "left_semi")
+        at = store(_locate(histogram(inside, shift, F.col("of_")), open_, [*keys, "of_"]), "ranks").df
+    else:
+        found.append(at.select(*keys, "p", F.col("lo_new").alias("q")))
     every = reduce(DataFrame.unionByName, found)
     names = {p: f"q{p * 100:g}".replace(".", "_") for p in probs}
     wide = every.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name) for p, name in names.items()])

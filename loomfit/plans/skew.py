@@ -13,22 +13,20 @@ from loomfit.sources.tables import table
 #: Share of the rows from which a key counts as hot.
 HOT_SHARE = 0.01
 PROBS = (0.25, 0.5, 0.75)
-#: First bin widths: of ratings, and of seconds in a sequence.
-RATING_STEP, SECONDS_STEP = 0.5, 60.0
 
 
 def keyed_values(spark: SparkSession, d: str) -> DataFrame:
-    """``field, key, value, step``: ratings by user and by item, and the seconds of every sequence element by its id."""
+    """``field, key, value``: ratings by user and by item, and the seconds of every sequence element by its id."""
     sides = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("key")) for c in ("user", "item")])).alias("x")
-    rated = table(spark, d, "ratings").select(sides, F.col("rating").cast("double").alias("value")).select("x.field", "x.key", "value", F.lit(RATING_STEP).alias("step"))
+    rated = table(spark, d, "ratings").select(sides, F.col("rating").cast("double").alias("value")).select("x.field", "x.key", "value")
     seqs = table(spark, d, "item_seqs").select("secs", F.posexplode("sequence").alias("pos", "key")).where("key IS NOT NULL AND key <> 0")
-    events = seqs.select(F.lit("sequence").alias("field"), "key", F.get("secs", "pos").cast("double").alias("value"), F.lit(SECONDS_STEP).alias("step"))
+    events = seqs.select(F.lit("sequence").alias("field"), "key", F.get("secs", "pos").cast("double").alias("value"))
     return rated.unionByName(events)
 
 
 def p4_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Rows and quartiles of every key, each field's keys together."""
-    return keyed_quantiles(keyed_values(spark, d), ["field", "key"], "value", PROBS, F.col("step")).withColumnRenamed("key", "id")
+    return keyed_quantiles(keyed_values(spark, d), ["field", "key"], "value", PROBS).withColumnRenamed("key", "id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -72,6 +72,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def tasks(rows: int, each: int) -> int:
+    """Tasks for so many counted rows: the partitions of a shuffle whose tasks shall not grow with the data."""
+    return max(1, -(-rows // each))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that tasks can import it wherever they run."""
     sc = spark.sparkContext
