@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfit.llm.vectors import DIM, SIMILAR, binary, from_binary, resolved
-from loomfit.session import Stored, small, store
+from loomfit.session import Stored, small, store, tasks
 
 #: Fixed directions, and how many of the furthest are hashed.
 DIRECTIONS, FAR = 256, 24
@@ -31,6 +31,8 @@ FEW, TILE, BUCKET = 256, 64, 16_384
 SLOTS = 1 << 18
 #: Vectors of a component compared in one piece.
 BLOCK = 1_024
+#: Rows of the bands that a task compares on average.
+TASK = 250_000
 SEED = 5
 
 
@@ -333,7 +335,7 @@ def grouped(item_data: DataFrame) -> tuple[DataFrame, DataFrame]:
     id``. The first table is stored.
     """
     rows, seen = resolved(item_data)
-    order = bands(rows).repartition("place").sortWithinPartitions("place", "words", "id")
+    order = bands(rows).repartition(tasks(seen.count() * BANDS, TASK), "place").sortWithinPartitions("place", "words", "id")
     edges = candidates(order.select("place", "id", "words")).distinct()
     root = components(edges)
     ids = store(seen.select("id", "h").join(root, "id"), "members").df

@@ -290,7 +290,10 @@ def most_similar(item_data: DataFrame, least: float = SIMILAR, top: int = TOP) -
     rows, seen = resolved(item_data)
     sides = [r["count"] for r in seen.groupBy("type").count().collect()]
     bits, trees = shape(max(sides, default=0), least)
-    dealt = forest(rows, bits, trees, large_units(rows, bits, trees)).repartition("unit", "i", "j")
+    large = large_units(rows, bits, trees)
+    # a task per unit, and per pair of blocks of a large one
+    parts = (2 * trees << bits) + sum(n * (n + 1) // 2 for n in large.values())
+    dealt = forest(rows, bits, trees, large).repartition(parts, "unit", "i", "j")
     arrays = dealt.sortWithinPartitions("unit", "i", "j", "q", "id")
     pairs = near(arrays, least - DOUBT, top + 1, trees << bits)
     pairs = store(pairs.groupBy("type", "id_a", "id_b").agg(F.max("similarity").cast("double").alias("similarity")), "near").df

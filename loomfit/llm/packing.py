@@ -1,8 +1,8 @@
 """Documents packed into containers of fixed capacity, neighbours along a space-filling curve together.
 
 A document's tokens are hashed to a vector that is projected to a few dimensions; its cell's place on the Hilbert
-curve is the sort key. Range-sorted documents are packed in windows along the curve, each item into the fullest
-container that takes it; containers with room stay open for the next window.
+curve is the sort key. Range-sorted documents are packed in short windows along the curve, each item into the fullest
+container that takes it; a few containers with room stay open for the next window, so what is in one lies close on the curve.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfit.llm.tokens import RANKS, encode, encoder, rank_file, texts
-from loomfit.session import store
+from loomfit.session import store, tasks
 
 CAPACITY = 4_096
 DIMS, BITS = 4, 10
 #: Documents packed together, and containers that stay open from one window to the next.
-WINDOW, OPEN = 4_096, 256
+WINDOW, OPEN = 64, 8
+#: Documents along the curve that a task packs; every task's last open containers are not filled up.
+TASK = 20_000
 SEED = 7
 
 
@@ -108,12 +110,15 @@ def pack(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
         held: list[pa.RecordBatch] = []
         n = 0
 
-        def window() -> pa.RecordBatch:
+        def packed() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             size = t["size"].to_numpy()
             whole = np.maximum(0, -(-size // capacity) - 1)  # the last piece is packed, full or not
-            box = fill(size - whole * capacity, capacity, room, new)
-            del room[: max(0, len(room) - OPEN)]
+            box = []
+            for lo in range(0, len(size), WINDOW):
+                box.append(fill((size - whole * capacity)[lo : lo + WINDOW], capacity, room, new))
+                del room[: max(0, len(room) - OPEN)]
+            box = np.concatenate(box)
             row = np.repeat(np.arange(len(size)), whole + 1)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(whole + 1) - whole - 1, whole + 1)
             last = piece == whole[row]
@@ -125,17 +130,20 @@ def pack(sized: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
             return pa.RecordBatch.from_arrays([pa.array(at), ids.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(took)], ["container", id_col, "piece", "start", "size"])
 
         for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= WINDOW:
-                yield window()
-                held.clear()
-                n = 0
+            while b.num_rows:
+                part = b.slice(0, 64 * WINDOW - n)
+                b = b.slice(part.num_rows)
+                held.append(part)
+                n += part.num_rows
+                if n == 64 * WINDOW:
+                    yield packed()
+                    held.clear()
+                    n = 0
         if n:
-            yield window()
+            yield packed()
 
     kind = sized.schema[id_col].dataType.simpleString()
-    ordered = sized.repartitionByRange("place", id_col).sortWithinPartitions("place", id_col)
+    ordered = sized.repartitionByRange(tasks(sized.count(), TASK), "place", id_col).sortWithinPartitions("place", id_col)
     return ordered.select(id_col, "size").mapInArrow(run, f"container bigint, `{id_col}` {kind}, piece int, start bigint, size bigint")
 
 

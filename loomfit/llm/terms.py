@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfit.session import store
+from loomfit.session import store, tasks
 
 #: (term, record) pairs sorted at once in a task.
 BLOCK_PAIRS = 2_000_000
+#: Partial counts that a task merges.
+TASK = 500_000
 SCHEMA = "term bigint, occurrences bigint, records bigint"
 
 
@@ -95,6 +97,8 @@ def term_frequencies(records: DataFrame) -> tuple[DataFrame, int]:
     none. Columns: ``term, occurrences, records``; no rows for an empty input.
     """
     parts = store(_partial(records), "terms")
-    filled = parts.df.where("term IS NULL").agg(F.sum("records")).first()[0] or 0
-    ordered = parts.df.where("term IS NOT NULL").repartitionByRange("term").sortWithinPartitions("term")
-    return store(ordered.mapInArrow(_merge, SCHEMA), "term_counts").df, filled
+    told = parts.df.agg(F.sum(F.when(F.col("term").isNull(), F.col("records"))).alias("filled"), F.count("term").alias("n")).first()
+    ordered = parts.df.where("term IS NOT NULL").repartitionByRange(tasks(told["n"], TASK), "term").sortWithinPartitions("term")
+    counts = store(ordered.mapInArrow(_merge, SCHEMA), "term_counts").df
+    parts.drop()
+    return counts, told["filled"] or 0

@@ -32,15 +32,23 @@ def baskets(copies: DataFrame) -> DataFrame:
 
 
 def _pieces(kept: DataFrame) -> DataFrame:
-    """Rows ``a, b``: all pairs within ``a`` if ``b`` is null, else all pairs of an item of ``a`` and one of ``b``."""
+    """Rows ``a, b``: all pairs within ``a`` if ``b`` is null, else all pairs of an item of ``a`` and one of ``b``.
+
+    A large basket leaves its task as chunks, each once. The chunks, dealt over all tasks, make a copy for every pair they are
+    in, and the two of a pair meet by basket and chunk numbers: no task sees more than a few chunks of a basket.
+    """
     none = F.lit(None).cast("array<bigint>")
     plain = kept.where(F.size("items").between(2, CHUNK)).select(F.col("items").alias("a"), none.alias("b"))
-    large = kept.where(F.size("items") > CHUNK).select("items", F.ceil(F.size("items") / F.lit(CHUNK)).cast("int").alias("n"))
-    one = large.select("items", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    two = one.select("items", "i", F.explode(F.sequence(F.col("i"), F.col("n") - 1)).alias("j"))
-    cut = lambda k: F.slice("items", F.col(k) * CHUNK + 1, F.lit(CHUNK))
-    two = two.select(cut("i").alias("a"), F.when(F.col("i") != F.col("j"), cut("j")).alias("b"))
-    return plain.unionByName(two.repartition(F.xxhash64("a", "b")))
+    n = F.ceil(F.size("items") / F.lit(CHUNK)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice("items", k * CHUNK + 1, CHUNK))
+    large = kept.where(F.size("items") > CHUNK).select(F.monotonically_increasing_id().alias("basket"), n.alias("n"), cut.alias("chunks"))
+    large = large.select("basket", "n", F.posexplode("chunks").alias("i", "x"))
+    chunks = store(large, "chunks").df.repartition("basket", "i")
+    each = chunks.select("basket", "i", "x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    each = each.select("basket", F.least("i", "o").alias("lo"), F.greatest("i", "o").alias("hi"), "i", "x")
+    mine = lambda c: F.max(F.when(F.col("i") == F.col(c), F.col("x")))
+    two = each.groupBy("basket", "lo", "hi").agg(mine("lo").alias("a"), mine("hi").alias("b"))
+    return plain.unionByName(two.select("a", F.when(F.col("lo") != F.col("hi"), F.col("b")).alias("b")))
 
 
 def pair_counts(kept: DataFrame, hot: tuple[np.ndarray, np.ndarray], cold: int, min_jaccard: float, max_count: float) -> DataFrame:

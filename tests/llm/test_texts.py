@@ -55,6 +55,21 @@ def test_packing(spark):
         packing.pack(df, capacity=0)
 
 
+def test_containers_hold_neighbours_on_the_curve_and_are_full(spark):
+    rng = np.random.default_rng(8)
+    n = 6_000
+    sizes = np.minimum(rng.lognormal(6.7, 0.8, n), 9_000).astype(int)
+    df = spark.createDataFrame([(k, int(s), int(p)) for k, (s, p) in enumerate(zip(sizes, rng.permutation(n)))], "doc_id bigint, size bigint, place bigint")
+    rank = {r["doc_id"]: r["place"] for r in df.collect()}
+    at, used = {}, {}
+    for r in packing.pack(df).collect():
+        at.setdefault(r["container"], []).append(rank[r["doc_id"]])
+        used[r["container"]] = used.get(r["container"], 0) + r["size"]
+    far = sorted(max(x) - min(x) for x in at.values() if len(x) > 1)
+    assert max(used.values()) <= 4_096 and sum(used.values()) / len(used) / 4_096 > 0.97
+    assert far[len(far) // 2] < 0.01 * n
+
+
 HEAD = "From x@y.example Mon\nReceived: from a\n\tby b\nSubject: re: court\nMIME-Version: 1.0\n"
 
 
