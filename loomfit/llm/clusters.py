@@ -3,20 +3,23 @@
 A vector's set holds, for each of many fixed directions, the side on which the vector lies. MinHash is taken over the
 directions in which it reaches furthest: similar vectors share much of these, others next to nothing. Bands of MinHash
 values bring candidates together, the exact Jaccard of the whole sets verifies them, and connected components gather
-them. Inside a component exact similarities, block by block, tell tight clusters from loose ones; the latter are split
-around the vectors with most neighbours.
+them. Components of more than a block are taken apart by the similarities themselves: what no chain of similar pairs
+connects is separate. Inside a component exact similarities, block by block, tell tight clusters from loose ones; the latter
+are split around the vectors with most neighbours, all that are above their neighbours in a round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfit.llm.vectors import DIM, SIMILAR, binary, from_binary, resolved
+from loomfit.llm import neighbours
+from loomfit.llm.vectors import DIM, SIMILAR, binary, by_group, from_binary, resolved
 from loomfit.session import Stored, small, store, tasks
 
 #: Fixed directions, and how many of the furthest are hashed.
@@ -31,6 +34,8 @@ FEW, TILE, BUCKET = 256, 64, 16_384
 SLOTS = 1 << 18
 #: Vectors of a component compared in one piece.
 BLOCK = 1_024
+#: Members with which a large component is compared before all its pairs are.
+PIVOTS = 3
 #: Rows of the bands that a task compares on average.
 TASK = 250_000
 SEED = 5
@@ -261,46 +266,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """One row per vector and pair of blocks of its component that it takes part in: ``root, i, j, mine`` and the vector."""
+    """One row per vector and pair of blocks of its component that it takes part in: ``root, i, j, mine`` and its columns."""
     size = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     rows = members.join(size, "root").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     rows = rows.select("*", other.alias("other"))
-    return rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "w", "q")
+    return rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *[c for c in members.columns if c not in ("root", "x")], "x")
 
 
-def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
-    """Lists of whole groups of rows sorted by the first ``keys`` columns; the last column is a binary ``q``, all others
-    are numbers. A group may go on over batches; its rows are its columns.
-    """
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def cut(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-        cols = [np.concatenate(c) for c in zip(*parts)]
-        new = np.zeros(len(cols[0]) - 1, bool)
-        for c in cols[:keys]:
-            new |= c[1:] != c[:-1]
-        at = np.r_[0, np.flatnonzero(new) + 1, len(cols[0])]
-        return [tuple(c[lo:hi] for c in cols) for lo, hi in zip(at[:-1], at[1:])]
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        *numbers, q = b.columns
-        held.append((*(c.to_numpy() for c in numbers), from_binary(q, np.int16, DIM)))
-        groups = cut(held)
-        held = [tuple(c.copy() for c in groups.pop())]
-        if groups:
-            yield groups
-    if held:
-        yield cut(held)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # lengths may be extreme
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _sides(i: int, j: int, mine: np.ndarray) -> list[tuple]:
+    return [(slice(None), slice(None))] if i == j else [(mine == i, mine == j), (mine == j, mine == i)]
 
 
 def degrees(members: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``root, id, w, deg, mark, total``: how many vectors of the component reach ``least``, the vector itself and its
     copies among them, a fingerprint of that set, and the sum of those similarities.
 
-    ``members`` has ``root, id, w, q``: one row per distinct vector, standing for ``w`` copies. Components larger than a
+    ``members`` has ``root, id, w, x``: one row per distinct vector, standing for ``w`` copies. Components larger than a
     block are compared by pairs of blocks, dealt over all tasks.
     """
 
@@ -309,40 +298,137 @@ def degrees(members: DataFrame, least: float = SIMILAR) -> DataFrame:
             h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        x = x.astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sides = [(slice(None), slice(None))] if i == j else [(mine == i, mine == j), (mine == j, mine == i)]
-        for a, b in sides:
+        x = unit(x)
+        for a, b in _sides(i, j, mine):
             s = x[a] @ x[b].T
             ok = s >= least
+            if i == j:
+                np.fill_diagonal(ok, True)
             yield ids[a], w[a], ok @ w[b], np.bitwise_xor.reduce(np.where(ok, h[b], np.uint64(0)), axis=1), np.where(ok, s, 0) @ w[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in by_group(batches, 3):
+        for groups in by_group(batches, 3, np.float32):
             got = [(np.full(len(r[0]), root[0]), *r) for root, i, j, mine, ids, w, x in groups for r in group(i[0], j[0], mine, ids, w, x)]
             root, ids, w, deg, mark, total = (np.concatenate(c) for c in zip(*got))
             yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(ids), pa.array(w), pa.array(deg.astype(np.int64)), pa.array(mark.view(np.int64)), pa.array(total)], ["root", "id", "w", "deg", "mark", "total"])
 
-    ordered = _blocks(members).repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j")
+    ordered = _blocks(members.select("root", "id", "w", "x")).repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j")
     part = ordered.mapInArrow(run, "root bigint, id bigint, w bigint, deg bigint, mark bigint, total double")
     return part.groupBy("root", "id", "w").agg(F.sum("deg").alias("deg"), F.bit_xor("mark").alias("mark"), F.sum("total").alias("total"))
 
 
-def grouped(item_data: DataFrame) -> tuple[DataFrame, DataFrame]:
+def chained(x: np.ndarray, mine: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect all rows which a chain of similar pairs does, of those that meet in a sorted array of bit
+    strings (see :mod:`neighbours`). With ``mine`` (the block of every row) only pairs of different blocks count.
+
+    Rows that are already connected are not compared again, and a range all of whose rows are connected is left alone.
+    """
+    n, p = len(x), neighbours.level(least)
+    strings, words = neighbours.codes(x)
+    part = 1 - neighbours.same_bit(least)
+    far = neighbours.SKETCH * part + neighbours.SIGMAS * (neighbours.SKETCH * part * (1 - part)) ** 0.5
+    root, left, right = np.arange(n), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for q in strings:
+        order = np.argsort(q, kind="stable")
+        place = q[order] >> neighbours.LONGEST - p
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if n else np.empty(0, np.int64)
+        end = np.repeat(np.r_[start[1:], n], np.diff(np.r_[start, n]))
+        k, lag, due = np.arange(n), 1, 1
+        while len(k := k[k + lag < end[k]]):
+            if lag == due:
+                r = root[order]
+                open_ = np.minimum.reduceat(r, start) != np.maximum.reduceat(r, start)
+                k = k[np.repeat(open_, np.diff(np.r_[start, n]))[k]]
+                due *= 2
+            a, b = order[k], order[k + lag]
+            ok = root[a] != root[b]
+            if mine is not None:
+                ok &= mine[a] != mine[b]
+            a, b = a[ok], b[ok]
+            near = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.uint16) for w in words) <= far
+            a, b = a[near], b[near]
+            near = np.einsum("ij,ij->i", x[a], x[b]) >= least
+            a, b = a[near], b[near]
+            if len(a):
+                left.append(a)
+                right.append(b)
+                root = roots(n, np.r_[root, a], np.r_[np.arange(n), b])
+            lag += 1
+    a, b = np.concatenate(left), np.concatenate(right)
+    spanning = roots(n, a, b)
+    k = np.flatnonzero(spanning != np.arange(n))
+    return k, spanning[k]
+
+
+def apart(members: DataFrame, least: float) -> DataFrame:
+    """``members`` (``root, id, w, x``) with the components of more than ``BLOCK`` vectors taken apart: ``root`` is then the
+    same for what a chain of pairs of at least this similarity connects."""
+    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = store(size.where(F.col("n") > BLOCK).select("root"), "large")
+    n = large.count()
+    if not n:
+        return members
+    of = small(large.df, n)
+    rows = store(members.join(of, "root").select(F.lit(True).alias("type"), "id", "x"), "large").df
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = np.rint(unit(from_binary(b.column(2), np.float32, DIM)) * neighbours.SCALE).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), binary(q)], ["type", "id", "q"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in by_group(batches, 3):
+            for _, i, j, mine, ids, q in groups:
+                a, b = chained(unit(q).astype(np.float32), None if i[0] == j[0] else mine, least - neighbours.DOUBT)
+                a, b = ids[a], ids[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["id_a", "id_b"])
+
+    rows = rows.mapInArrow(short, "type boolean, id bigint, q binary")
+    bits, trees = neighbours.shape(max(neighbours.WHOLE + 1, rows.count()), least)
+    crowd = neighbours.large_units(rows, bits, trees)
+    parts = (trees << bits) + sum(k * (k + 1) // 2 for k in crowd.values())
+    dealt = neighbours.forest(rows, bits, trees, crowd).repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    found = components(dealt.mapInArrow(edges, "id_a bigint, id_b bigint").where("id_a < id_b").distinct())
+    found = store(found.select("id", F.col("root").alias("to")), "apart").df
+    rest = members.join(of, "root", "left_anti")
+    return store(rest.unionByName(members.join(of, "root").join(found, "id", "left").select(F.coalesce("to", "id").alias("root"), "id", "w", "x")), "members").df
+
+
+def compact(members: DataFrame, least: float) -> DataFrame:
+    """``members`` without the large components that a few of their members show not to be tight: one that is taken anyhow,
+    then the least similar to it, then the least similar to that. What remains is compared by all pairs."""
+    size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = store(size.where(F.col("n") > BLOCK).select("root"), "large")
+    n = large.count()
+    if not n:
+        return members
+    rows = store(members.join(small(large.df, n), "root"), "large").df
+    rest = members.join(small(large.df, n), "root", "left_anti")
+    pivot = rows.groupBy("root").agg(F.min_by("x", "id").alias("m"))
+    for _ in range(PIVOTS):
+        seen = store(_beside(rows.join(small(store(pivot, "pivots").df, n), "root")), "beside").df
+        least_of = store(seen.groupBy("root").agg(F.min("s").alias("s"), F.min_by("x", F.struct("s", "id")).alias("m")).where(F.col("s") >= least), "pivots").df
+        rows = rows.join(small(least_of.select("root"), n), "root", "left_semi")
+        pivot = least_of.select("root", "m")
+    return rest.unionByName(rows)
+
+
+def grouped(item_data: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The distinct vectors of every component of two or more ids, and the ids behind each vector.
 
-    First ``root, id, w, q``: one row per distinct vector under its smallest id, with the number of its ids. Then ``rep,
+    First ``root, id, w, x``: one row per distinct vector under its smallest id, with the number of its ids. Then ``rep,
     id``. The first table is stored.
     """
     rows, seen = resolved(item_data)
-    order = bands(rows).repartition(tasks(seen.count() * BANDS, TASK), "place").sortWithinPartitions("place", "words", "id")
+    order = bands(rows.select("id", "q")).repartition(tasks(seen.count() * BANDS, TASK), "place").sortWithinPartitions("place", "words", "id")
     edges = candidates(order.select("place", "id", "words")).distinct()
     root = components(edges)
     ids = store(seen.select("id", "h").join(root, "id"), "members").df
     reps = ids.groupBy("root", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
     which = reps.select("root", F.col("rep").alias("id"), "w")
-    vectors = rows.select("id", "q").join(which, "id").groupBy("root", "id", "w").agg(F.first("q").alias("q"))
-    return store(vectors, "members").df, ids.join(reps, ["root", "h"]).select("rep", "id")
+    vectors = rows.select("id", "x").join(which, "id").groupBy("root", "id", "w").agg(F.max("x").alias("x"))
+    return apart(store(vectors, "members").df, least), ids.join(reps, ["root", "h"]).select("rep", "id")
 
 
 def tight_clusters(item_data: DataFrame, least: float = SIMILAR, size: int = 3) -> DataFrame:
@@ -352,8 +438,8 @@ def tight_clusters(item_data: DataFrame, least: float = SIMILAR, size: int = 3)
     number is theirs. ``cluster`` is the smallest id. Unusable vectors, null ids and types are left out; an empty input
     gives no rows.
     """
-    vectors, ids = grouped(item_data)
-    deg = store(degrees(vectors, least), "degrees").df
+    vectors, ids = grouped(item_data, least)
+    deg = store(degrees(compact(vectors, least), least), "degrees").df
     found = deg.groupBy("root", "deg", "mark").agg(F.sum("w").alias("n"), F.min("id").alias("cluster")).where((F.col("n") == F.col("deg")) & (F.col("n") >= size))
     of = deg.select("root", "deg", "mark", F.col("id").alias("rep")).join(found, ["root", "deg", "mark"]).select("rep", "cluster")
     return ids.join(of, "rep").select("cluster", "id")
@@ -372,22 +458,27 @@ def described(item_data: DataFrame, least: float = SIMILAR, typical: int = 3) ->
     those that are left, until none is; equal numbers go to the larger sum of similarities, then to the smaller id.
     ``typical`` lists the members' ids with the largest sums of similarities.
     """
-    vectors, _ = grouped(item_data)
+    vectors, _ = grouped(item_data, least)
     deg = store(degrees(vectors, least), "degrees").df
-    every = vectors.join(deg.select("root", "id", "deg", "total"), ["root", "id"]).select("root", "id", "w", "deg", "total", "q")
+    every = vectors.join(deg.select("root", "id", "deg", "total"), ["root", "id"]).select("root", "id", "w", "deg", "total", "x")
     every = store(every.join(vectors.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), "left").df
-    done = [store(_split(every.where(F.col("n") <= BLOCK), least), "split").df]
-    left = Stored(every.where(F.col("n") > BLOCK).drop("n"), "")
+    rows = store(_split(every.where(F.col("n") <= BLOCK).drop("n"), least), "split").df
+    large = store(every.where(F.col("n") > BLOCK).drop("n"), "large").df
+    left, medoids = Stored(large, ""), []
     while left.df.limit(1).count():
-        # one medoid per large component and round; it is compared with the component's vectors where they are
-        key = F.struct("deg", "total", (-F.col("id")).alias("first"))
-        top = left.df.groupBy("root").agg(F.max_by("id", key).alias("medoid"), F.max_by("q", key).alias("m"))
-        near = store(_beside(left.df.join(small(top, top.count()), "root"), least), "near")
-        done.append(near.df.where("near").select("medoid", "id", "w", "total"))
-        left = Stored(near.df.where("NOT near").select("root", "id", "w", "deg", "total", "q"), near.path)
-    rows = done[0]
-    for d in done[1:]:
-        rows = rows.unionByName(d)
+        # every vector with no undecided neighbour above it is a medoid, whose neighbours are decided then
+        above = _highest(left.df.withColumn("open", F.lit(1)), least)
+        tops = store(left.df.join(above, ["root", "id"]).withColumn("open", (F.col("top") == F.col("id")).cast("int")).drop("top"), "tops")
+        medoids.append(store(tops.df.where("open = 1").select("root", "id"), "medoids").df)
+        rest = store(tops.df.join(_highest(tops.df, least), ["root", "id"], "left_anti").drop("open"), "left")
+        tops.drop()
+        if left.path:
+            left.drop()
+        left = rest
+    if medoids:
+        chosen = reduce(DataFrame.unionByName, medoids).withColumn("open", F.lit(1))
+        found = _highest(large.join(chosen, ["root", "id"], "left").fillna(0, ["open"]), least)
+        rows = rows.unionByName(large.join(found, ["root", "id"]).select(F.col("top").alias("medoid"), "id", "w", "total"))
     order = Window.partitionBy("medoid").orderBy(F.col("total").desc(), "id")
     best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= typical)
     best = best.groupBy("medoid").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical"))
@@ -395,38 +486,67 @@ def described(item_data: DataFrame, least: float = SIMILAR, typical: int = 3) ->
     return sizes.join(best, "medoid").select("cluster", "size", "medoid", "typical")
 
 
+def order_of(ids: np.ndarray, deg: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Row numbers by falling rank as a medoid."""
+    return np.lexsort((ids, -total, -deg))
+
+
 def _split(rows: DataFrame, least: float) -> DataFrame:
     """``medoid, id, w, total`` for components of one block, each split in its task."""
 
-    def group(ids: np.ndarray, deg: np.ndarray, total: np.ndarray, q: np.ndarray) -> np.ndarray:
-        x = q.astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    def group(ids: np.ndarray, deg: np.ndarray, total: np.ndarray, x: np.ndarray) -> np.ndarray:
+        x = unit(x)
         near = x @ x.T >= least
         np.fill_diagonal(near, True)
         medoid = np.full(len(ids), -1)
-        for k in np.lexsort((ids, -total, -deg)):
+        for k in order_of(ids, deg, total):
             if medoid[k] < 0:
                 medoid[near[k] & (medoid < 0)] = k
         return ids[medoid]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in by_group(batches, 1):
-            got = [(group(ids, deg, total, q), ids, w, total) for _, ids, w, deg, total, q in groups]
+        for groups in by_group(batches, 1, np.float32):
+            got = [(group(ids, deg, total, x), ids, w, total) for _, ids, w, deg, total, x in groups]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["medoid", "id", "w", "total"])
 
-    ordered = rows.select("root", "id", "w", "deg", "total", "q").repartition("root").sortWithinPartitions("root")
+    ordered = rows.select("root", "id", "w", "deg", "total", "x").repartition("root").sortWithinPartitions("root")
     return ordered.mapInArrow(run, "medoid bigint, id bigint, w bigint, total double")
 
 
-def _beside(rows: DataFrame, least: float) -> DataFrame:
-    """Adds ``near``: whether ``q`` is at least so similar to ``m``."""
-    names = ["root", "id", "w", "deg", "total", "q", "medoid"]
+def _highest(rows: DataFrame, least: float) -> DataFrame:
+    """``root, id, top``: the highest of the ``open`` vectors (1) that are similar to a vector, itself among them. Vectors with
+    none have no row. Compared by pairs of blocks, of which each gives one row per vector."""
+
+    def group(i: int, j: int, mine: np.ndarray, ids: np.ndarray, deg: np.ndarray, total: np.ndarray, open_: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        x, place = unit(x), np.empty(len(ids), np.int64)
+        order = order_of(ids, deg, total)
+        place[order] = np.arange(len(ids))
+        for a, b in _sides(i, j, mine):
+            near = x[a] @ x[b].T >= least
+            if i == j:
+                np.fill_diagonal(near, True)
+            best = np.where(near & (open_[b] == 1), place[b], len(ids)).min(1, initial=len(ids))
+            ok = best < len(ids)
+            top = order[best[ok]]
+            yield ids[a][ok], deg[top], total[top], ids[top]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in by_group(batches, 3, np.float32):
+            got = [(np.full(len(r[0]), root[0]), *r) for root, i, j, *cols in groups for r in group(i[0], j[0], *cols)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["root", "id", "deg", "total", "top"])
+
+    cells = _blocks(rows.select("root", "id", "deg", "total", "open", "x")).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    part = cells.mapInArrow(run, "root bigint, id bigint, deg bigint, total double, top bigint")
+    return part.groupBy("root", "id").agg(F.max_by("top", F.struct("deg", "total", -F.col("top"))).alias("top"))
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """``root, id, x, s``: the similarity of ``x`` and ``m``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, m = (from_binary(b.column(k), np.int16, DIM).astype(np.float64) for k in (5, 7))
-            s = (x * m).sum(1) / np.sqrt((x * x).sum(1) * (m * m).sum(1))
-            near = (s >= least) | (b.column(1).to_numpy() == b.column(6).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(near)], [*names, "near"])
+            if b.num_rows:
+                x, m = (unit(from_binary(b.column(k), np.float32, DIM)) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x * m).sum(1))], ["root", "id", "x", "s"])
 
-    return rows.select(*names, "m").mapInArrow(run, "root bigint, id bigint, w bigint, deg bigint, total double, q binary, medoid bigint, near boolean")
+    return rows.select("root", "id", "x", "m").mapInArrow(run, "root bigint, id bigint, x binary, s double")

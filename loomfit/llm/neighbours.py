@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfit.llm.clusters import by_group
-from loomfit.llm.vectors import DIM, SCALE, SIMILAR, exact_similarities, from_binary, resolved, shared_vectors
+from loomfit.llm.vectors import DIM, SCALE, SIMILAR, by_group, exact_similarities, from_binary, resolved, shared_vectors
 from loomfit.session import small, store
 
 #: Sorted arrays inside a unit and bits of their strings; share of the pairs of a unit that none of its arrays may meet.
@@ -288,6 +287,7 @@ def most_similar(item_data: DataFrame, least: float = SIMILAR, top: int = TOP) -
     vectors are handled exactly and apart, so their number does not matter. Empty input: no rows.
     """
     rows, seen = resolved(item_data)
+    rows = rows.select("type", "id", "q")
     sides = [r["count"] for r in seen.groupBy("type").count().collect()]
     bits, trees = shape(max(sides, default=0), least)
     large = large_units(rows, bits, trees)

@@ -53,8 +53,36 @@ def from_binary(col: pa.Array, kind: type, width: int) -> np.ndarray:
     return data.view(kind).reshape(len(col), width)
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: int, kind: type = np.int16) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Lists of whole groups of rows sorted by the first ``keys`` columns; the last column is a binary vector of
+    ``kind``, all others are numbers. A group may go on over batches; its rows are its columns.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def cut(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        new = np.zeros(len(cols[0]) - 1, bool)
+        for c in cols[:keys]:
+            new |= c[1:] != c[:-1]
+        at = np.r_[0, np.flatnonzero(new) + 1, len(cols[0])]
+        return [tuple(c[lo:hi] for c in cols) for lo, hi in zip(at[:-1], at[1:])]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        *numbers, q = b.columns
+        held.append((*(c.to_numpy() for c in numbers), from_binary(q, kind, DIM)))
+        groups = cut(held)
+        held = [tuple(c.copy() for c in groups.pop())]
+        if groups:
+            yield groups
+    if held:
+        yield cut(held)
+
+
 def directions(item_data: DataFrame) -> DataFrame:
-    """``type, id, q`` of the usable vectors as delivered: ``q`` has the unit coordinates as 16-bit numbers.
+    """``type, id, q, x`` of the usable vectors as delivered: ``q`` has the unit coordinates as 16-bit numbers, ``x`` the
+    first ``DIM`` values themselves as floats.
 
     Rows with null type or id are left out; rows may repeat. If one (type, id) has unequal usable vectors, that with
     the largest hash counts; the check moves hashes only.
@@ -65,10 +93,12 @@ def directions(item_data: DataFrame) -> DataFrame:
             rows, x = unit_rows(b.column(2))
             q = np.rint(x * SCALE).astype(np.int16)
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), binary(q)], ["type", "id", "q"])
+            start, _ = lists(b.column(2))
+            raw = b.column(2).values.cast(pa.float32()).to_numpy(zero_copy_only=False)[start[rows][:, None] + np.arange(DIM)] if len(rows) else np.empty((0, DIM), np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), binary(q), binary(raw)], ["type", "id", "q", "x"])
 
     known = item_data.where("type IS NOT NULL AND id IS NOT NULL").select("type", "id", "f")
-    return known.mapInArrow(run, "type boolean, id bigint, q binary")
+    return known.mapInArrow(run, "type boolean, id bigint, q binary, x binary")
 
 
 def resolved(item_data: DataFrame) -> tuple[DataFrame, DataFrame]:

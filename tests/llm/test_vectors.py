@@ -67,6 +67,38 @@ def test_loose_component_is_split_around_its_hub(spark):
     assert sorted((r["medoid"], r["size"]) for r in clusters.described(df).collect()) == [(1, 3)]
 
 
+def test_large_components_are_taken_apart_and_split_alike(spark, rows, monkeypatch):
+    """A chain, a tight group on its side and one that all reach from the middle: as one block and by blocks of 8."""
+    rng = np.random.default_rng(12)
+    a, b = np.eye(48)[:2]
+    at = lambda deg: np.cos(np.radians(deg)) * a + np.sin(np.radians(deg)) * b
+    x = [at(d) for d in range(0, 170, 9)] + [np.eye(48)[7] + rng.standard_normal(48) * 0.02 for _ in range(12)]
+    ball = rng.standard_normal((30, 48))
+    x += [np.eye(48)[20] + v / np.linalg.norm(v) * 0.45 for v in ball] + [np.eye(48)[20]]
+    df = spark.createDataFrame([(True, k, 1, [*map(float, v), 0.0], 1, "x") for k, v in enumerate(x)], SCHEMA)
+    tight, split = rows(clusters.tight_clusters(df)), sorted((r["cluster"], r["size"], r["medoid"], tuple(r["typical"])) for r in clusters.described(df).collect())
+    assert {i for _, i in tight} == set(range(19, 31))
+    monkeypatch.setattr(cl, "BLOCK", 8)
+    assert rows(clusters.tight_clusters(df)) == tight
+    assert sorted((r["cluster"], r["size"], r["medoid"], tuple(r["typical"])) for r in clusters.described(df).collect()) == split
+
+
+def test_chains_are_connected_without_all_pairs():
+    """20,000 vectors in a chain, and two groups that no chain connects."""
+    rng = np.random.default_rng(13)
+    x = [rng.standard_normal(48)]
+    for _ in range(19_999):
+        x.append(x[-1] / np.linalg.norm(x[-1]) * 0.96 + rng.standard_normal(48) * 0.03)
+    x = np.array(x)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    a, b = cl.chained(x, None, 0.9)
+    assert len(a) < len(x) and len(set(cl.roots(len(x), a, b))) <= 3
+    two = np.concatenate([np.eye(48)[k] + rng.standard_normal((300, 48)) * 0.03 for k in (0, 1)])
+    two = (two / np.linalg.norm(two, axis=1, keepdims=True)).astype(np.float32)
+    r = cl.roots(600, *cl.chained(two, None, 0.9))
+    assert len(set(r[:300])) == len(set(r[300:])) == 1 and r[0] != r[300]
+
+
 def test_neighbours_in_a_dense_group_are_found_whatever_the_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1, 48)) + rng.standard_normal((16_000, 48)) * 0.25  # near-equal: all about 0.94
