@@ -1,4 +1,8 @@
-"""The sender's own words of a raw e-mail: headers, quotes, signatures, disclaimers and attachments taken away."""
+"""The sender's own words of a raw e-mail: headers, quotes and attachments taken away.
+
+What ends a message, signatures and disclaimers, has no format but a separating line. The rest of it is known by what the
+whole collection repeats (:mod:`topics`), for which every paragraph tells its first line and its sentences.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import binascii
 import html
 import quopri
 import re
+from dataclasses import dataclass
 
 #: Depth to which parts of parts are followed.
 DEPTH = 8
@@ -33,24 +38,16 @@ FORWARD = re.compile(
 #: The line, or two, that introduces a quote.
 SAID = re.compile(r"^[ \t]*(?:on|am|le|el)\b[^\n]{0,160}(?:\n[^\n]{0,80})?(?:wrote|schrieb[^\n]{0,60}|a écrit|escribió)[ \t]*:[ \t]*$", re.I | re.M)
 QUOTED = re.compile(r"^[ \t]*[A-Za-z]{0,4}[>|][^\n]*$", re.M)
-#: From such a line on there is a signature, a disclaimer, or what follows them.
-SIGNED = re.compile(
-    r"^[ \t]*(?:--[ \t]*|-{3,}|_{3,}|\*{5,}|={5,}|"
-    r"(?:best |kind |warm |many )?(?:regards|wishes|greetings|thanks|cheers)|(?:yours )?(?:sincerely|faithfully|truly)|yours|cordialement|bien (?:à vous|cordialement)|amiti\S*|salutations|"
-    r"(?:viele|liebe|beste|sch\S+ne|freundliche) gr\S{1,3}e|mit freundlichen gr\S{1,4}en|gru\S{1,2}|mfg|vg|lg|"
-    r"(?:un )?(?:cordial )?saludos?(?: cordiales)?|atentamente|un abrazo|abrazos)[ \t]*[,.!]?[ \t]*$",
-    re.I | re.M,
-)
-DISCLAIMER = re.compile(
-    r"confidential|privileged material|written consent|opinions are the author|scanned for virus|no warranty|received (?:this|it) in error|intended recipient|"
-    r"no contract is formed|addressee only|détruire|bórrelo|unauthorised disclosure|reached you by mistake|vertraulich|haftung ist|empfänger|löschen sie|confidentiel|destinataire|toute responsabilité|confidencial|toda responsabilidad|por error|destinatario",
-    re.I,
-)
+#: A line of signs only, from which on there is a signature, a disclaimer, or what follows them.
+SIGNED = re.compile(r"^[ \t]*(?:--|-{3,}|_{3,}|\*{5,}|={5,})[ \t]*$", re.M)
+#: Words of a line that may open a signature.
+SHORT_LINE = 4
 #: Two and three bytes of UTF-8 as Western European characters.
 HIGH = "".join(bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xC0))
 GARBLED = re.compile(f"[ÂÃÄÅ][{re.escape(HIGH)}]|[âä][{re.escape(HIGH)}]{{2}}")
 #: Abbreviations whose dot ends no sentence.
 SHORT = "".join(rf"(?<!\b{a}\.)" for a in ("Op", "op", "Art", "art", "No", "no", "Nr", "vs", "lit", "Dr", "dep"))
+PARAGRAPHS, LETTERS = re.compile(r"\n\s*\n"), re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(rf"(?<=[.!?…;]){SHORT}[\"')\]]*\s+|\s*:-\)\s*|\s+[-–]\s+(?=[\W\d]*[A-ZÀ-Þ¿¡])|\n\s*\n|\n(?=[ \t]*(?:[*•]|\d{{1,2}}\))[ \t])")
 
 
@@ -146,21 +143,39 @@ def own_text(text: str | None) -> str:
     return body[: cut.start()] if cut else body
 
 
+@dataclass
+class Paragraph:
+    """Its first line if that is short, else empty; the lines of the message that follow this one; its sentences."""
+
+    head: str
+    after: int
+    sentences: list[str]
+
+
+def paragraphs(own: str) -> list[Paragraph]:
+    """The paragraphs with at least one letter. Lines within a paragraph belong together. A single word before a dash opens
+    the sentence after it."""
+    found = [p for p in PARAGRAPHS.split(own) if any(c.isalpha() for c in p)]
+    lines = [[x for x in p.split("\n") if x.strip()] for p in found]
+    left = sum(len(x) for x in lines)
+    out = []
+    for text, mine in zip(found, lines):
+        head = " ".join(LETTERS.findall(mine[0].lower()))
+        parts: list[str] = []
+        open_ = ""
+        for s in SENTENCE.split(text):
+            if not s or not any(c.isalpha() for c in s):
+                continue
+            if len(s) < 16 and " " not in s.strip() and s.strip()[-1] not in ".!?;:":
+                open_ += s + " "
+            else:
+                parts.append(open_ + s)
+                open_ = ""
+        out.append(Paragraph(head if 0 < head.count(" ") + 1 <= SHORT_LINE else "", left - 1, parts + [open_] * bool(open_)))
+        left -= len(mine)
+    return out
+
+
 def sentences(own: str) -> list[str]:
-    """Sentences with at least one letter, disclaimers left out. Lines within a paragraph belong together.
-
-    A single word before a dash opens the sentence after it.
-    """
-    out: list[str] = []
-    open_ = ""
-    for s in SENTENCE.split(own):
-        if not s or not any(c.isalpha() for c in s):
-            continue
-        if len(s) < 16 and " " not in s.strip() and s.strip()[-1] not in ".!?;:":
-            open_ += s + " "
-        else:
-            out.append(open_ + s)
-            open_ = ""
-    if open_:
-        out.append(open_)
-    return [s for s in out if not DISCLAIMER.search(s)]
+    """Sentences with at least one letter."""
+    return [s for p in paragraphs(own) for s in p.sentences]

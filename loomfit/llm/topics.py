@@ -5,6 +5,9 @@ documents start the subjects' components and stay bound to their own subjects; a
 updates of terms and mixtures. A document has the subjects that the mixtures of its sentences hold, each sentence's mixture
 being one update from that of the whole collection.
 
+Signatures and disclaimers are what the collection repeats: short lines that open paragraphs in many messages, nearly always
+next to the end, and sentences that stand in many messages, nearly always among other repeated ones only.
+
 Frequent terms are few and go to all tasks. Rare ones stay in a distributed table: their part in the components follows from
 the mixtures of the documents they are in, and joins these by term.
 """
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfit.llm.mail import own_text, sentences
+from loomfit.llm.mail import own_text, paragraphs
 from loomfit.llm.tokens import texts
 from loomfit.session import small, store
 
@@ -33,6 +36,11 @@ LANGUAGE_SHARE = 0.02
 #: A term needs this many documents. From ``FREQUENT`` of all documents on it is held by all tasks; there are at most the
 #: mean number of terms of a document divided by that.
 MIN_DOCS, FREQUENT = 4, 0.0002
+#: Share of the documents from which a line or sentence is a repeated one.
+REPEATED = 0.0002
+#: Lines that may follow a signature's first one, and the share of such places among all; share of the paragraphs of a
+#: disclaimer's sentence in which all sentences are repeated.
+FOLLOW, AT_END, AMONG_SUCH = 8, 0.95, 0.9
 #: Share of the sentences from which a document has a subject, and terms from which a sentence has one.
 SENTENCE_SHARE, EVIDENCE = 0.25, 0.5
 #: Weight of a wrong component in a labelled document: labels may be wrong.
@@ -42,6 +50,7 @@ SHRINK = 5.0
 #: Most subject areas.
 MOST_SUBJECTS = 1_000
 WORD = re.compile(r"[^\W\d_]{2,}")
+TOKEN = re.compile(r"\w+")
 LINK = re.compile(r"\S*(?:@|://)\S*")
 
 
@@ -50,25 +59,116 @@ def term(word: str) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
-def terms_of(text: str | None) -> list[list[int]]:
-    """Terms of each sentence of the sender's own words. Addresses and links are no words."""
-    return [[term(w) for w in WORD.findall(LINK.sub(" ", s).lower())] for s in sentences(own_text(text))]
+def terms_of(sentence: str) -> list[int]:
+    """Terms of a sentence. Addresses and links are no words."""
+    return [term(w) for w in WORD.findall(LINK.sub(" ", sentence).lower())]
+
+
+def mark(sentence: str) -> int:
+    """The number of a sentence, whatever its case, spaces and signs."""
+    return term(" ".join(TOKEN.findall(sentence.lower())))
+
+
+PARSED = {"words": "bigint", "ends": "int", "marks": "bigint", "paras": "int", "heads": "bigint", "after": "int"}
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """``doc_id, more, words, ends``: the terms of the own sentences one after another, and where each sentence ends."""
+    """``doc_id, more`` and lists: ``words``, the terms of the sentences one after another, and ``ends``, where each ends;
+    ``marks`` and ``paras``, every sentence's number and paragraph; ``heads`` and ``after``, every paragraph's first line if
+    that is short (else 0) and the lines that follow it."""
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *more, F.col(text_col).alias("text_"))
-    names = [*kept.columns[:-1], "words", "ends"]
+    names = [*kept.columns[:-1], *PARSED]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: dict[str, list] = {c: [] for c in PARSED}
+            for t in texts(b.column(b.num_columns - 1)):
+                found = paragraphs(own_text(t))
+                each = [(k, x) for k, p in enumerate(found) for x in p.sentences]
+                words = [terms_of(x) for _, x in each]
+                rows["words"].append([w for x in words for w in x])
+                rows["ends"].append(np.cumsum([len(x) for x in words]).tolist())
+                rows["marks"].append([mark(x) for _, x in each])
+                rows["paras"].append([k for k, _ in each])
+                rows["heads"].append([term(p.head) if p.head else 0 for p in found])
+                rows["after"].append([p.after for p in found])
+            lists = [pa.array(rows[c], pa.list_(pa.int64() if kind == "bigint" else pa.int32())) for c, kind in PARSED.items()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists], names)
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    return kept.mapInArrow(run, ", ".join([*kinds, *[f"{c} array<{kind}>" for c, kind in PARSED.items()]]))
+
+
+def numbers(df: DataFrame) -> np.ndarray:
+    """The only column of a table of bounded size, sorted."""
+    return np.sort(df.toArrow().column(0).to_numpy())
+
+
+def repeated(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines of signatures, and sentences of disclaimers. Both are at most the mean number of lines or sentences of a
+    document divided by ``REPEATED``."""
+    least = max(MIN_DOCS, REPEATED * total)
+    lines = rows.select(F.explode(F.arrays_zip("heads", "after")).alias("x")).where("x.heads <> 0").groupBy("x.heads")
+    lines = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x.after") <= FOLLOW).alias("near"))
+    openers = numbers(lines.where((F.col("n") >= least) & (F.col("near") >= AT_END * F.col("n"))).select("heads"))
+    many = rows.select(F.explode(F.array_distinct("marks")).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    shared = rows.sparkSession.sparkContext.broadcast(numbers(many.select("m")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [terms_of(t) for t in texts(b.column(b.num_columns - 1))]
-            words = pa.array([[w for s in d for w in s] for d in found], pa.list_(pa.int64()))
-            ends = pa.array([np.cumsum([len(s) for s in d]).tolist() for d in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], words, ends], names)
+            if not b.num_rows or not len(shared.value):
+                continue
+            m, size = flat(b.column(0))
+            known = positions(m, shared.value) >= 0
+            place = np.repeat(np.arange(len(size)), size) << 32 | flat(b.column(1))[0]
+            _, at = np.unique(place, return_inverse=True)
+            alone = np.bincount(at, ~known)[at] == 0
+            k, first = np.unique(m[known], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(first, alone[known], len(k))), pa.array(np.bincount(first, minlength=len(k)))], ["m", "alone", "n"])
+
+    found = rows.select("marks", "paras").mapInArrow(run, "m bigint, alone double, n bigint").groupBy("m").agg(F.sum("alone").alias("alone"), F.sum("n").alias("n"))
+    return openers, numbers(found.where(F.col("alone") >= AMONG_SUCH * F.col("n")).select("m"))
+
+
+def cleaned(rows: DataFrame, openers: np.ndarray, disclaimers: np.ndarray) -> DataFrame:
+    """``doc_id, claim, words, ends`` without the paragraphs from a signature's first line on, and without disclaimers."""
+    shared = rows.sparkSession.sparkContext.broadcast((openers, disclaimers))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, words array<bigint>, ends array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        openers, disclaimers = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = {c: flat(b.column(c)) for c in PARSED}
+            heads, n = col["heads"]
+            doc = np.repeat(np.arange(b.num_rows), n)
+            para = np.arange(len(heads)) - np.repeat(np.cumsum(n) - n, n)
+            end = np.full(b.num_rows, np.iinfo(np.int64).max)
+            if len(openers):
+                opens = positions(heads, openers) >= 0
+                np.minimum.at(end, doc[opens], para[opens])
+            marks, size = col["marks"]
+            of = np.repeat(np.arange(b.num_rows), size)
+            keep = col["paras"][0] < end[of]
+            if len(disclaimers):
+                keep &= positions(marks, disclaimers) < 0
+            sentence, _ = sentence_of(b.column("ends"), col["words"][1])
+            at = (np.cumsum(size) - size)[np.repeat(np.arange(b.num_rows), col["words"][1])] + sentence
+            length = np.bincount(at, minlength=len(marks))
+            words = col["words"][0][keep[at]]
+            kept = np.bincount(of[keep], minlength=b.num_rows)
+            total = np.cumsum(length[keep])
+            before = np.r_[0, total][np.cumsum(kept) - kept]
+            ends = total - np.repeat(before, kept)
+            held = np.bincount(of[keep], length[keep], b.num_rows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("claim"), listed(words, held), listed(ends.astype(np.int32), kept)], ["doc_id", "claim", "words", "ends"])
+
+    return rows.mapInArrow(run, "doc_id bigint, claim int, words array<bigint>, ends array<int>")
+
+
+def listed(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(values))
 
 
 @dataclass
@@ -368,7 +468,10 @@ def subjects_of(docs: DataFrame, subjects: DataFrame, labels: DataFrame) -> Data
     tongues = sorted(r["lang"] for r in common.collect())  # at most 1 / LANGUAGE_SHARE
     claim = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in tongues]), lang), F.lit(0)) - 1 if tongues else F.lit(-1)
     read = parsed(docs.withColumn("claim_", claim.cast("int")), "doc_id", "text", "claim_").withColumnRenamed("claim_", "claim")
-    full = store(read.join(small(told.df, few), "doc_id", "left").select("doc_id", "words", "ends", "told", "claim"), "parsed").df
+    read = store(read, "parsed")
+    own = cleaned(read.df, *repeated(read.df, total))
+    full = store(own.join(small(told.df, few), "doc_id", "left").select("doc_id", "words", "ends", "told", "claim"), "own_words").df
+    read.drop()
     # document frequency of every term, counted over all documents
     seen = full.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
     seen = store(seen, "term_documents").df

@@ -86,6 +86,27 @@ def test_own_words():
     assert mail.mended("donnÃ©es Ã") == "données Ã"
 
 
+def test_signatures_and_disclaimers_are_what_repeats(spark):
+    rng = random.Random(3)
+    legal, polite = ["All liability is excluded.", "Ask before you copy the contract."], ["That is all.", "More on friday."]
+    docs = []
+    for k in range(60):
+        own = [f"We saw item{rng.randrange(10**6)} and item{rng.randrange(10**6)} there.", rng.choice(polite)]
+        end = "\n\nKind wishes\nA. Name\nLegal office" if k % 2 else ""
+        docs.append((k, " ".join(own) + f"\n\nThen item{rng.randrange(10**6)} came. " + rng.choice(polite) + end + "\n\n" + "\n".join(rng.sample(legal, 2))))
+    docs += [(100, None), (101, ""), (102, "Kind wishes to all of you, and thanks for the long letter about everything.")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("doc_id", "text", "-1 AS claim")
+    rows = topics.parsed(df, "doc_id", "text", "claim")
+    openers, disclaimers = topics.repeated(rows, len(docs))
+    assert set(openers) == {topics.term("kind wishes"), topics.term("all liability is excluded")}  # both open what ends a message
+    assert set(disclaimers) >= {topics.mark(x) for x in legal} and not set(disclaimers) & {topics.mark(x) for x in polite}
+    for r in topics.cleaned(rows, openers, disclaimers).collect():
+        words = [w for s in mail.sentences(dict(docs)[r["doc_id"]] or "") for w in topics.terms_of(s)]
+        assert len(r["ends"]) == (4 if r["doc_id"] < 60 else 1 if r["doc_id"] == 102 else 0) and len(r["words"]) == (r["ends"][-1] if r["ends"] else 0)
+        assert set(r["words"]) <= set(words)
+    assert [len(v) for v in topics.repeated(rows.limit(0), 0)] == [0, 0]
+
+
 def test_subjects(spark):
     rng = random.Random(9)
     words = {"law": ["judge", "verdict", "plaintiff", "statute"], "music": ["cello", "melody", "octave", "tempo"]}
