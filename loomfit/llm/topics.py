@@ -39,7 +39,7 @@ MIN_DOCS, FREQUENT = 4, 0.0002
 #: Share of the documents from which a line or sentence is a repeated one.
 REPEATED = 0.0002
 #: Lines that may follow a signature's first one, and the share of such places among all; share of the paragraphs of a
-#: disclaimer's sentence in which all sentences are repeated.
+#: disclaimer's sentence in which all sentences are repeated, of messages in which not all are.
 FOLLOW, AT_END, AMONG_SUCH = 8, 0.95, 0.9
 #: Share of the sentences from which a document has a subject, and terms from which a sentence has one.
 SENTENCE_SHARE, EVIDENCE = 0.25, 0.5
@@ -120,9 +120,10 @@ def repeated(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 continue
             m, size = flat(b.column(0))
             known = positions(m, shared.value) >= 0
-            place = np.repeat(np.arange(len(size)), size) << 32 | flat(b.column(1))[0]
-            _, at = np.unique(place, return_inverse=True)
+            doc = np.repeat(np.arange(len(size)), size)
+            _, at = np.unique(doc << 32 | flat(b.column(1))[0], return_inverse=True)
             alone = np.bincount(at, ~known)[at] == 0
+            known &= np.bincount(doc, ~known)[doc] > 0  # where all is repeated, all stands among such
             k, first = np.unique(m[known], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(first, alone[known], len(k))), pa.array(np.bincount(first, minlength=len(k)))], ["m", "alone", "n"])
 
