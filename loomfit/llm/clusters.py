@@ -428,7 +428,10 @@ def grouped(item_data: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     reps = ids.groupBy("root", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
     which = reps.select("root", F.col("rep").alias("id"), "w")
     vectors = rows.select("id", "x").join(which, "id").groupBy("root", "id", "w").agg(F.max("x").alias("x"))
-    return apart(store(vectors, "members").df, least), ids.join(reps, ["root", "h"]).select("rep", "id")
+    # ids with a vector of their own need no join, and few shared vectors go to all tasks: one with many ids stays spread
+    shared = store(reps.where("w > 1").select("root", "h", "rep"), "shared").df
+    of = ids.join(small(shared, shared.count()), ["root", "h"], "left").select(F.coalesce("rep", "id").alias("rep"), "id")
+    return apart(store(vectors, "members").df, least), of
 
 
 def tight_clusters(item_data: DataFrame, least: float = SIMILAR, size: int = 3) -> DataFrame:

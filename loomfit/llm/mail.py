@@ -48,7 +48,7 @@ GARBLED = re.compile(f"[ÂÃÄÅ][{re.escape(HIGH)}]|[âä][{re.escape(HIGH)}]{{
 #: Abbreviations whose dot ends no sentence.
 SHORT = "".join(rf"(?<!\b{a}\.)" for a in ("Op", "op", "Art", "art", "No", "no", "Nr", "vs", "lit", "Dr", "dep"))
 PARAGRAPHS, LETTERS = re.compile(r"\n\s*\n"), re.compile(r"[^\W\d_]+")
-SENTENCE = re.compile(rf"(?<=[.!?…;]){SHORT}[\"')\]]*\s+|\s*:-\)\s*|\s+[-–]\s+(?=[\W\d]*[A-ZÀ-Þ¿¡])|\n\s*\n|\n(?=[ \t]*(?:[*•]|\d{{1,2}}\))[ \t])")
+SENTENCE = re.compile(rf"(?<=;)\s+(?=[^\sa-zß-ÿ])|(?<=[.!?…]){SHORT}[\"')\]]*\s+|\s*:-\)\s*|\s+[-–]\s+(?=[\W\d]*[A-ZÀ-Þ¿¡])|\n\s*\n|\n(?=[ \t]*(?:[*•]|\d{{1,2}}\))[ \t])")
 
 
 def decoded(body: str, encoding: str, charset: str) -> str:

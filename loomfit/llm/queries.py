@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomfit.llm import clusters, heavy, neighbours, packing, runs, terms, together, tokens, topics
 from loomfit.llm.shared import counting_copies
+from loomfit.session import store
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -113,6 +114,18 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """For every document: all its tokens are placed, in pieces one after another, cut only where it is larger than a
+    container, and no container it is in holds too much."""
+    placed = store(p9_containers(spark, d), "placed").df
+    size = p8_ids(spark, d).select("doc_id", F.size("ids").alias("tokens"))
+    used = placed.groupBy("container").agg((F.sum("size") <= packing.CAPACITY).alias("fits"))
+    each = placed.join(used, "container").groupBy("doc_id").agg(F.sum("size").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.bool_and(F.col("start") == F.col("piece") * packing.CAPACITY).alias("whole"), F.bool_and("fits").alias("fits"))
+    least = F.greatest(F.ceil(F.col("tokens") / packing.CAPACITY), F.lit(1))
+    right = F.col("fits") & F.col("whole") & (F.col("placed") == F.col("tokens")) & (F.col("pieces") == least) & (F.col("last") == F.col("pieces") - 1)
+    return size.join(each, "doc_id", "left").select("doc_id", F.coalesce(right, F.lit(False)).alias("right"))
+
+
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     """Number of containers and documents, tokens, and the share of the space in use."""
     placed = p9_containers(spark, d)
@@ -172,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p8_text": p8_text,
     "p9_containers": p9_containers,
+    "p9_documents": p9_documents,
     "p9_fill": p9_fill,
     "p10_found": p10_found,
 }
@@ -200,5 +214,6 @@ SQL: dict[str, str] = {
     "p5_terms": TERMS + " SELECT * FROM m",
     "p7_found": P7.format(more=""),
     "p7_pairs": P7.format(more=", n_ab, a.k AS n_a, b.k AS n_b, n, round(n_ab / (a.k + b.k - n_ab), 9) AS jaccard, round(n_ab * n / (a.k * b.k), 9) AS lift, round(log2(n_ab * n / (a.k * b.k)), 9) AS pmi"),
+    "p9_documents": 'SELECT doc_id, true AS "right" FROM documents',
     "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -11,7 +11,7 @@ def is_id(x: Column) -> Column:
     return x.isNotNull() & (x != F.lit(0))
 
 
-def counting_copies(seqs: DataFrame, *columns: str, by: list[str] | None = None) -> DataFrame:
+def counting_copies(seqs: DataFrame, *columns: str) -> DataFrame:
     """One row per ``seq_id``: the delivery with the latest ``loaded_at``.
 
     Columns: ``seq_id``, ``dup`` and the columns asked for. Rows with a null ``seq_id`` cannot be matched with

@@ -144,8 +144,9 @@ def shared_vectors(seen: DataFrame, most: int) -> DataFrame:
     ``rep`` is the group's smallest id, ``n`` its size; ``place`` ranks its ``most`` smallest ids and is null for others.
     """
     w = Window.partitionBy("type", "h")
-    groups = seen.groupBy("type", "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1")
-    top = seen.join(groups, ["type", "h"])
+    groups = store(seen.groupBy("type", "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).where("n > 1"), "groups").df
+    # few groups go to all tasks, so that one with many ids stays spread
+    top = seen.join(small(groups, groups.count()), ["type", "h"])
     # a limit on the rank is applied before the shuffle too, so a large group sends few rows
     first = top.withColumn("place", F.row_number().over(w.orderBy("id"))).where(F.col("place") <= most).select("type", "id", "place")
     return top.join(first, ["type", "id"], "left").select("type", "id", "rep", "place", "n")
