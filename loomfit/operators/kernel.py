@@ -90,7 +90,7 @@ class Local:
         n = len(self.ids[1])
         some = own >= 0
         if self.p.pow > 0:
-            below = np.where(own > 0, self.cdf[own - 1], 0.0)
+            below = np.where(own > 0, self.cdf[np.maximum(own - 1, 0)], 0.0)
             width = np.where(some, self.cdf[own] - below, 0.0)
             u = self.rng.random(len(own)) * (1 - width)
             got = np.minimum(np.searchsorted(self.cdf, u + np.where(some & (u >= below), width, 0.0), side="right"), n - 1)
