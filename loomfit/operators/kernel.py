@@ -121,6 +121,7 @@ class Local:
         p, dim = self.p, self.p.vector_size
         a = self.f[0][l]
         gain, bend = np.zeros_like(a), np.zeros(len(l))
+        length = np.einsum("ij,ij->i", a, a)
         for d in range(p.negatives + 1):
             if d:
                 target, ok = self.negatives(own)
@@ -144,8 +145,8 @@ class Local:
                 gain[:, :dim] -= p.lambda_l * lr * a[:, :dim]
                 up[:, :dim] -= p.lambda_r * lr * b[:, :dim]
             rate = p.learning_rate * w
-            bend += rate * np.einsum("ij,ij->i", b, b, dtype=np.float64)
-            scatter_add(self.f[1], target, up, rate * np.einsum("ij,ij->i", a, a, dtype=np.float64))
+            bend += rate * np.einsum("ij,ij->i", b, b)
+            scatter_add(self.f[1], target, up, rate * length)
         scatter_add(self.f[0], l, gain, bend)
 
     def rows(self) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
