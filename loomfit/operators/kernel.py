@@ -14,33 +14,51 @@ import numpy as np
 import pyarrow as pa
 
 from loomfit.functions.scalars import MISS, SATURATION
+from loomfit.operators.packed import NULL, ordered
 from loomfit.params import TrainParams
 
 #: Most curvature that the updates of an id in one batch may meet: the sum of learning rate, weight and squared length of the
 #: vectors on the other side. From 8 on their sum may end up further from its goal than it began.
 CURVATURE = 2.0
+#: Ids are looked up in a table of all numbers between them if it has at most so many entries an id, else by binary search.
+SPAN = 16
 
 
-def scatter_add(m: np.ndarray, at: np.ndarray, rows: np.ndarray, bend: np.ndarray | None = None) -> None:
+def scatter_add(m: np.ndarray, at: np.ndarray, rows: np.ndarray, bend: np.ndarray | None = None, now: np.ndarray | None = None, mark: np.ndarray | None = None) -> None:
     """``m[at] += rows``, rows of equal positions added up, and scaled down where their ``bend`` adds up to more than
-    ``CURVATURE``. A row that is alone is taken as it is."""
+    ``CURVATURE``. A row that is alone is taken as it is: only positions that are there again are sorted.
+
+    ``now`` is ``m[at]`` if it is known, ``mark`` a scratch array as long as ``m``.
+    """
     if len(at) == 1:
         m[at[0]] += rows[0]
         return
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    total = np.add.reduceat(rows[order], start, axis=0)
+    now = np.take(m, at, axis=0) if now is None else now
+    mark = np.empty(len(m), np.intp) if mark is None else mark
+    k = np.arange(len(at))
+    mark[at] = k
+    again = at[mark[at] != k]
+    m[at] = now + rows
+    if not len(again):
+        return
+    mark[again] = -1
+    order = np.flatnonzero(mark[at] < 0)
+    order = order[np.argsort(at[order], kind="stable")]
+    same = at[order]
+    start = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+    total = np.add.reduceat(np.take(rows, order, axis=0), start, axis=0)
     if bend is not None:
         sharp = np.add.reduceat(bend[order], start)
-        over = (sharp > CURVATURE) & (np.diff(np.r_[start, len(at)]) > 1)
+        over = sharp > CURVATURE
         total[over] *= (CURVATURE / sharp[over]).astype(rows.dtype)[:, None]
-    m[at[start]] += total
+    m[same[start]] = now[order[start]] + total
 
 
 def sigmoid(f: np.ndarray) -> np.ndarray:
     """Exact inside [-6, 6], 0 or 1 outside."""
     s = 1 / (1 + np.exp(-np.clip(f, -SATURATION, SATURATION)))
+    if not (np.abs(f) > SATURATION).any():
+        return s
     return np.where(f > SATURATION, 1.0, np.where(f < -SATURATION, 0.0, s))
 
 
@@ -73,13 +91,28 @@ class Local:
         self.ids, self.cn, self.f = (ids[:n], ids[n:]), (cn[:n], cn[n:]), [f[:n].copy(), f[n:].copy()]
         mass = self.cn[1].astype(np.float64) ** self.p.pow
         self.cdf = np.cumsum(mass) / mass.sum() if len(mass) else mass
+        self.places = [self._places(i) for i in self.ids]
+        self.own = self.find(1, self.ids[0]) if self.same_domain else np.full(n, -1)
+        self.mark = [np.empty(len(i), np.intp) for i in self.ids]
         self.ready = True
 
+    @staticmethod
+    def _places(ids: np.ndarray) -> np.ndarray | None:
+        """Position of every number from the least id to the largest, -1 where there is none; None if few of them are ids."""
+        if not len(ids) or int(ids[-1]) - int(ids[0]) >= SPAN * len(ids):
+            return None
+        out = np.full(int(ids[-1]) - int(ids[0]) + 1, -1, np.int32)
+        out[ids - ids[0]] = np.arange(len(ids))
+        return out
+
     def find(self, side: int, x: np.ndarray) -> np.ndarray:
         """Positions of ids, -1 for those without a vector."""
-        ids = self.ids[side]
+        ids, places = self.ids[side], self.places[side]
         if not len(ids):
             return np.full(len(x), -1)
+        if places is not None:
+            inside = (x >= ids[0]) & (x <= ids[-1])
+            return np.where(inside, places[np.where(inside, x, ids[0]) - ids[0]], -1).astype(np.intp)
         k = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
         return np.where(ids[k] == x, k, -1)
 
@@ -107,8 +140,8 @@ class Local:
             self.start()
         l, r = self.find(0, left), self.find(1, right)
         ok = (l >= 0) & (r >= 0)
-        own = self.find(1, left[ok]) if self.same_domain else np.full(int(ok.sum()), -1)
         l, r = l[ok], r[ok]
+        own = self.own[l]
         label = np.ones(len(l)) if label is None else label[ok]
         weight = np.ones(len(l)) if weight is None else weight[ok]
         size = max(1, min(self.p.batch_size, min(len(self.ids[0]), len(self.ids[1])) // 4))
@@ -119,35 +152,40 @@ class Local:
 
     def step(self, l: np.ndarray, r: np.ndarray, own: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
         p, dim = self.p, self.p.vector_size
-        a = self.f[0][l]
+        a = np.take(self.f[0], l, axis=0)
+        head = a[:, :dim]
+        exact = head.astype(np.float64)
         gain, bend = np.zeros_like(a), np.zeros(len(l))
         length = np.einsum("ij,ij->i", a, a)
+        told = []
         for d in range(p.negatives + 1):
             if d:
                 target, ok = self.negatives(own)
                 y, w = np.zeros(len(l)), p.gamma * weight * ok
             else:
                 target, y, w = r, label, weight
-            b = self.f[1][target]
-            f = np.einsum("ij,ij->i", a[:, :dim], b[:, :dim], dtype=np.float64)
+            b = np.take(self.f[1], target, axis=0)
+            f = np.einsum("ij,ij->i", exact, b[:, :dim].astype(np.float64))
             if p.use_bias:
                 f = f + a[:, dim] + b[:, dim]
+            rate = p.learning_rate * w
             g = ((y - sigmoid(f)) * p.learning_rate * w).astype(np.float32)[:, None]
-            self.loss += float((logloss(f, y) * w).sum())
+            told.append((f, y, w))
             up = g * a
             if p.use_bias:
                 gain[:, dim:] += g
                 up[:, dim:] = g
             gain[:, :dim] += g * b[:, :dim]
-            if not d:
-                lr = (p.learning_rate * w).astype(np.float32)[:, None]
-                self.penalty += float((w * (p.lambda_l * (a[:, :dim] ** 2).sum(1) + p.lambda_r * (b[:, :dim] ** 2).sum(1))).sum())
-                gain[:, :dim] -= p.lambda_l * lr * a[:, :dim]
+            if not d and (p.lambda_l or p.lambda_r):
+                lr = rate.astype(np.float32)[:, None]
+                self.penalty += float((w * (p.lambda_l * (head**2).sum(1) + p.lambda_r * (b[:, :dim] ** 2).sum(1))).sum())
+                gain[:, :dim] -= p.lambda_l * lr * head
                 up[:, :dim] -= p.lambda_r * lr * b[:, :dim]
-            rate = p.learning_rate * w
             bend += rate * np.einsum("ij,ij->i", b, b)
-            scatter_add(self.f[1], target, up, rate * length)
-        scatter_add(self.f[0], l, gain, bend)
+            scatter_add(self.f[1], target, up, rate * length, b, self.mark[1])
+        scatter_add(self.f[0], l, gain, bend, a, self.mark[0])
+        f, y, w = (np.concatenate(c) for c in zip(*told))
+        self.loss += float((logloss(f, y) * w).sum())
 
     def rows(self) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
         if not self.ready:
@@ -160,30 +198,36 @@ OUT = "type boolean, id bigint, cn bigint, f array<float>, loss double, penalty
 
 
 def train_partition(batches: Iterator[pa.RecordBatch], p: TrainParams, seed: tuple[int, ...], same_domain: bool) -> Iterator[pa.RecordBatch]:
-    """Rows ``tag, part, type, id, cn, f, left, right, label, weight``, vectors (tag 0) before pairs, to trained vectors.
+    """Rows ``bucket, part, type, id, cn, f, n, left, right, given``, vectors (bucket -1) before pieces of pairs, to trained vectors.
 
-    The last row has null for the vector and the partition's loss instead, NaN if a vector is no longer finite. A partition
-    without pairs returns its vectors as they are, one without rows nothing. A null weight is 1; a pair with a null label is
-    left out of explicit training.
+    The pairs are trained in the order of their keys. The last row has null for the vector and the partition's loss instead,
+    NaN if a vector is no longer finite. A partition without pairs returns its vectors as they are, one without rows nothing.
+    A null weight is 1; a pair with a null label is left out of explicit training.
     """
     local: Local | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        part = b.column("part")[0].as_py()
-        local = local or Local(p, (*seed, part), same_domain)
-        pair = b.column("tag").to_numpy(zero_copy_only=False) == 1
-        n = int((~pair).sum())
-        if n:
-            v = b.slice(0, n)
-            f = v.column("f").flatten().to_numpy(zero_copy_only=False).reshape(n, p.width)
-            local.load(v.column("type").to_numpy(zero_copy_only=False), v.column("id").to_numpy(), v.column("cn").to_numpy(), f)
-        if n < b.num_rows:
-            x = b.slice(n)
-            if not p.implicit:
-                x = x.filter(x.column("label").is_valid())
-            given = x.column("weight" if p.implicit else "label").fill_null(1.0).to_numpy(zero_copy_only=False).astype(np.float64)
-            local.train(x.column("left").to_numpy(), x.column("right").to_numpy(), None if p.implicit else given, given if p.implicit else None)
+
+    def pieces() -> Iterator[pa.RecordBatch]:
+        nonlocal local
+        for b in batches:
+            if not b.num_rows:
+                continue
+            local = local or Local(p, (*seed, b.column("part")[0].as_py()), same_domain)
+            n = int((b.column("bucket").to_numpy() < 0).sum())
+            if n:
+                v = b.slice(0, n)
+                f = v.column("f").flatten().to_numpy(zero_copy_only=False).reshape(n, p.width)
+                local.load(v.column("type").to_numpy(zero_copy_only=False), v.column("id").to_numpy(), v.column("cn").to_numpy(), f)
+            if n < b.num_rows:
+                yield b.slice(n)
+
+    for left, right, bits in ordered(pieces(), seed):
+        if bits is None:
+            known, given = np.full(len(left), p.implicit), np.ones(len(left))
+        else:
+            known, given = bits != NULL, np.where(bits == NULL, np.float32(1), bits.view(np.float32)).astype(np.float64)
+        if not p.implicit:
+            left, right, given = left[known], right[known], given[known]
+        local.train(left, right, None if p.implicit else given, given if p.implicit else None)
     if local is None:
         return
     names = [c.split()[0] for c in OUT.split(", ")]

@@ -48,3 +48,7 @@ class TrainParams:
     def negatives(self) -> int:
         """Negatives drawn per pair; explicit training draws none."""
         return self.negative if self.implicit else 0
+
+    def salt(self, epoch: int, rotation: int) -> tuple[int, int, int]:
+        """What draws and the order of pairs in a rotation depend on."""
+        return self.seed & 0xFFFFFFFF, epoch, rotation

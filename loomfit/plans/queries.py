@@ -78,7 +78,7 @@ def window_pairs(spark, d):
 def pairs_by_part(spark, d):
     """Pairs of each partition in each rotation of the first epoch, as training reads them."""
     made = epoch_pairs(window_pairs(spark, d).withColumns({"label": F.lit(None).cast("float"), "weight": F.lit(None).cast("float")}), 0, N)
-    return made.df.groupBy("rotation", "part").agg(F.count(F.lit(1)).alias("pairs"))
+    return made.df.groupBy("rotation", "part").agg(F.sum("n").alias("pairs"))
 
 
 def oov_pairs(spark, d):

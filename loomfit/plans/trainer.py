@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfit.functions.hashing import owners, partitions
 from loomfit.operators.kernel import OUT, train_partition
+from loomfit.operators.packed import BLOCK, PACKED, SPLIT, pack, split
 from loomfit.params import TrainParams
-from loomfit.session import Stored, ship, store
+from loomfit.session import Stored, ship, store, tasks
 from loomfit.sources import checkpoint
 
 #: All pairs of an epoch: ``left, right, label, weight``.
 Pairs = Callable[[int], DataFrame]
 PAIR = ("left", "right", "label", "weight")
+#: Rows of a batch of vectors and pieces: a piece has up to 10 KB.
+ROWS = 2_048
 
 
 @dataclass
@@ -34,22 +38,53 @@ def dealt(vectors: DataFrame, epoch: int, rotation: int, n: int) -> DataFrame:
     return both.withColumn("part", F.when(F.col("type"), F.col("right_part")).otherwise(F.col("left_part"))).drop("left_part", "right_part")
 
 
+@contextmanager
+def arrow(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Batches to Python of so many rows, or as many as the session says, and of any size unless the session limits it.
+
+    Spark measures a batch again after each of its rows where it limits its size, which takes longer than all else; rows here
+    are of known length.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": (1 << 31) - 1, "spark.sql.execution.arrow.maxRecordsPerBatch": rows}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        if v and (rows or before[k] is None):
+            spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def epoch_pairs(pairs: DataFrame, epoch: int, n: int) -> Stored:
-    """All pairs of an epoch, made once and written by the rotation that owns them: each rotation reads its own only."""
-    here = owners(pairs.select(*PAIR), epoch, n, *PAIR[:2])
+    """All pairs of an epoch, made once, packed and written by the rotation that owns them: each rotation reads its own only."""
+    spark = pairs.sparkSession
+    here = owners(pairs.select(*PAIR), epoch, n, *PAIR[:2]).select("rotation", "part", *PAIR)
+    made = here.mapInArrow(lambda batches: pack(batches, n), PACKED)
     if n > 1:  # a rotation's rows into few files, but not into one task
-        tasks = max(1, pairs.sparkSession.sparkContext.defaultParallelism // n)
-        here = here.repartition("rotation", F.pmod(F.xxhash64(*PAIR[:2]), F.lit(tasks)))
-    return store(here, "pairs", by="rotation")
+        each = tasks(2 * spark.sparkContext.defaultParallelism, n)
+        made = made.repartitionById(n * each, (F.col("rotation") * each + F.col("part") % each).cast("int"))
+    with arrow(spark):
+        return store(made, "pairs", by="rotation")
+
+
+def most_pairs(packed: DataFrame) -> dict[int, int]:
+    """Pairs of the largest partition of every rotation that has any."""
+    each = packed.groupBy("rotation", "part").agg(F.sum("n").alias("n")).groupBy("rotation").agg(F.max("n").alias("n"))
+    return {r["rotation"]: r["n"] for r in each.collect()}
 
 
-def exchange(vectors: DataFrame, pairs: DataFrame, epoch: int, rotation: int, p: TrainParams) -> DataFrame:
-    """Vectors and a rotation's pairs in one shuffle: partition k holds its vectors first, then its pairs in hashed order."""
+def exchange(vectors: DataFrame, pairs: DataFrame, most: int, epoch: int, rotation: int, p: TrainParams) -> DataFrame:
+    """Vectors and a rotation's packed pairs, ``most`` in a partition, in one shuffle: partition k holds its vectors first,
+    then its pairs in ranges of their keys, so many that a range has about ``BLOCK`` pairs."""
     none = lambda kind: F.lit(None).cast(kind)
-    held = dealt(vectors, epoch, rotation, p.num_partitions).select(F.lit(0).alias("tag"), "part", "type", "id", "cn", "f", none("bigint").alias("left"), none("bigint").alias("right"), none("float").alias("label"), none("float").alias("weight"))
-    mine = pairs.select(F.lit(1).alias("tag"), "part", none("boolean").alias("type"), none("bigint").alias("id"), none("bigint").alias("cn"), none("array<float>").alias("f"), *PAIR)
-    order = F.xxhash64("type", "id", *PAIR, F.lit(p.seed), F.lit(epoch), F.lit(rotation))
-    return held.unionByName(mine).repartitionById(p.num_partitions, "part").sortWithinPartitions("tag", order)
+    mine = pairs.select("part", "n", "left", "right", F.col("weight" if p.implicit else "label").alias("given"))
+    buckets, salt = tasks(most, BLOCK), p.salt(epoch, rotation)
+    mine = mine.mapInArrow(lambda batches: split(batches, buckets, salt), SPLIT) if buckets > 1 else mine.withColumn("bucket", F.lit(0))
+    held = dealt(vectors, epoch, rotation, p.num_partitions).select(F.lit(-1).alias("bucket"), "part", "type", "id", "cn", "f", none("bigint").alias("n"), *[none("binary").alias(c) for c in ("left", "right", "given")])
+    mine = mine.select("bucket", "part", none("boolean").alias("type"), none("bigint").alias("id"), none("bigint").alias("cn"), none("array<float>").alias("f"), "n", "left", "right", "given")
+    return held.unionByName(mine).repartitionById(p.num_partitions, "part").sortWithinPartitions("bucket")
 
 
 def train(start: DataFrame, pairs: Pairs, p: TrainParams, same_domain: bool) -> tuple[DataFrame, Metrics]:
@@ -73,13 +108,15 @@ def train(start: DataFrame, pairs: Pairs, p: TrainParams, same_domain: bool) ->
     for epoch in range(epoch0, p.num_iterations):
         first = done if epoch == epoch0 else 0
         made = epoch_pairs(pairs(epoch), epoch, n) if first < n else None
+        most = most_pairs(made.df) if made else {}
         for rotation in range(first, n):
 
-            def kernel(batches: Iterator[pa.RecordBatch], seed: tuple[int, ...] = (p.seed & 0xFFFFFFFF, epoch, rotation)) -> Iterator[pa.RecordBatch]:
+            def kernel(batches: Iterator[pa.RecordBatch], seed: tuple[int, ...] = p.salt(epoch, rotation)) -> Iterator[pa.RecordBatch]:
                 return train_partition(batches, p, seed, same_domain)
 
             mine = made.df.where(F.col("rotation") == rotation)
-            out = store(exchange(now, mine, epoch, rotation, p).mapInArrow(kernel, OUT), "vectors")
+            with arrow(spark, ROWS):
+                out = store(exchange(now, mine, most.get(rotation, 0), epoch, rotation, p).mapInArrow(kernel, OUT), "vectors")
             told = out.df.where("type IS NULL").agg(F.sum("loss").alias("loss"), F.sum("penalty").alias("penalty"), F.sum("pairs").alias("pairs"), F.max("pairs").alias("largest")).first()
             metrics.rotations.append({"epoch": epoch, "rotation": rotation, **{k: told[k] or 0 for k in ("loss", "penalty", "pairs", "largest")}})
             if not math.isfinite(told["loss"] or 0):
