@@ -42,8 +42,8 @@ def dealt(vectors: DataFrame, epoch: int, rotation: int, n: int) -> DataFrame:
 def arrow(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
     """Batches to Python of so many rows, or as many as the session says, and of any size unless the session limits it.
 
-    Spark measures a batch again after each of its rows where it limits its size, which takes longer than all else; rows here
-    are of known length.
+    With the limit 11.7 million pairs took about 1.6 s more to reach Python than to be made, without it 0.2 s: presumably a batch
+    is measured after each of its rows. Rows here are of known length.
     """
     wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": (1 << 31) - 1, "spark.sql.execution.arrow.maxRecordsPerBatch": rows}
     before = {k: spark.conf.get(k, None) for k in wanted}
